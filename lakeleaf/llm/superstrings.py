@@ -102,7 +102,7 @@ class Packer:
             if isinstance(text, tuple):
                 text = text[0]
             for p in places:
-                by.setdefault(key % self.buckets, []).append((key, mark, units, doc, h, p, text))
+                by.setdefault(key % self.buckets, []).append((key // self.buckets & 0xFFFF, mark, units, doc, h, p, text))
         rows = [(b, STRINGS, pack_strings(x)) for b, x in by.items()]
         for lo in range(0, len(self.spans), 50_000):
             self.turn += 1
@@ -112,20 +112,27 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 256]), OUT.types)], schema=OUT)
 
 
+COLUMNS = (np.uint16, np.uint8, np.int32, np.int64, np.int16, np.int64, np.int32)
+
+
 def pack_strings(entries: list) -> bytes:
-    cols = list(zip(*entries))
-    n = np.array([len(entries)], np.int64)
-    parts = [n, np.array(cols[0], np.uint32), np.array(cols[1], np.uint8), np.array(cols[2], np.int32), np.array(cols[3], np.int64), np.array(cols[4], np.int32), np.array(cols[5], np.int64), np.fromiter(map(len, cols[6]), np.int32, len(entries))]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in parts) + b"".join(cols[6]))
+    """(key class, mark, units, doc, h, pos, string) of each entry; numbers by byte plane, doc as differences, for the compressor's sake."""
+    *cols, texts = zip(*entries)
+    cols = [np.array(c, t) for c, t in zip((*cols, [len(x) for x in texts]), COLUMNS)]
+    cols[3] = np.diff(cols[3], prepend=0)
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(texts), -1).T).tobytes() for c in cols]
+    return zstandard.ZstdCompressor(level=6).compress(b"".join((np.array([len(texts)], np.int64).tobytes(), *planes, *texts)))
 
 
 def unpack_strings(blob: bytes):
-    """(key, mark, units, doc, h, pos) arrays and the list of strings."""
+    """[key class, mark, units, doc, h, pos] arrays and the list of strings."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, cols = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-    for t in (np.uint32, np.uint8, np.int32, np.int64, np.int32, np.int64, np.int32):
-        cols.append(np.frombuffer(raw, t, n, at))
-        at += n * np.dtype(t).itemsize
+    for t in COLUMNS:
+        width = np.dtype(t).itemsize
+        cols.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(t).ravel())
+        at += n * width
+    cols[3] = np.cumsum(cols[3])
     ends = (at + np.cumsum(cols.pop())).tolist()
     return cols, [raw[a:b] for a, b in zip([at, *ends], ends)]
 
