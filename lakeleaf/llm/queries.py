@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeleaf.llm import langid, packing, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup, warc
+from lakeleaf.llm import decontaminate, langid, packing, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -64,5 +68,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_warc, op4_substring_dedup, op5_sharding, op6_quality_rules, op7_suffix_dedup, op8_language_id, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_warc, op4_substring_dedup, op5_sharding, op6_quality_rules, op7_suffix_dedup, op8_language_id, op9_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
