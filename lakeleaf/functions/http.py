@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SAFE_INTEGER = 2**53 - 1
 # Headers that carry credentials; status classes; extension types.
@@ -155,12 +154,10 @@ def _unpack(body: bytes, encodings: str, limit: int | None) -> tuple[bytes | Non
 
 def decoded_payload(body, encodings, limit: int | None = None) -> Column:
     """struct<body, error>: the payload with its content encodings undone, last first."""
-    import pandas as pd
-
-    @F.pandas_udf(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("error", T.StringType())]))
-    def run(bodies: pd.Series, names: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if b is None else _unpack(bytes(b), n, limit) for b, n in zip(bodies, names)]
-        return pd.DataFrame(rows, columns=["body", "error"])
+    @F.udf("struct<body:binary,error:string>", useArrow=True)
+    def run(data, names):
+        unpacked, error = (None, None) if data is None else _unpack(bytes(data), names, limit)
+        return {"body": unpacked, "error": error}
 
     return run(_col(body), _col(encodings))
 

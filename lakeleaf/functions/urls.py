@@ -202,11 +202,9 @@ def _resolve(raw: str | None, base: str | None) -> str | None:
 
 def resolved(raw, base) -> Column:
     """Absolute http(s) URL of a reference on a page, without its fragment; null for what is not one."""
-    import pandas as pd
-
-    @F.pandas_udf(T.StringType())
-    def run(raws: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([_resolve(r, b) for r, b in zip(raws, bases)], dtype=object)
+    @F.udf(T.StringType(), useArrow=True)
+    def run(reference, page):
+        return _resolve(reference, page)
 
     return run(_col(raw), _col(base))
 

@@ -33,7 +33,11 @@ def _query_terms(query: str) -> list[str]:
 def term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
     """(id, words, tf array) of every document, in one scan."""
     words = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    return words.select("id", F.size("t").cast("double").alias("words"), F.array(*[F.size(F.filter("t", lambda x, w=w: x == w)).cast("double") for w in terms]).alias("tf"))
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == F.lit(term))).cast("double")
+
+    return words.select("id", F.size("t").cast("double").alias("words"), F.array(*map(times, terms)).alias("tf"))
 
 
 def _corpus(counts: DataFrame, n: int) -> DataFrame:
