@@ -292,18 +292,19 @@ def _(t):
     return C.folded_states(requests, "user_id", "event_id", "state", C.JOB_STEPS, "queued").select("user_id", "state")
 
 
-@P.add("job_lease", "WITH e AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT event_id, p IS NULL OR epoch(ts) - epoch(p) >= 300 AS granted FROM e")
+@P.add("job_lease", "WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), r(user_id, k, till, granted) AS (SELECT user_id, k, t0 + 86400, 1 FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN e.t0 >= r.till THEN e.t0 + 86400 ELSE r.till END, CASE WHEN e.t0 >= r.till THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, CAST(sum(granted) AS BIGINT) AS granted FROM r GROUP BY user_id")
 def _(t):
-    from pyspark.sql import Window
+    from lakeleaf.operators.checks import leases
 
-    prev = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))) / 1e6
-    return t.events.select("event_id", (prev.isNull() | (gap >= 300)).alias("granted"))
+    requests = t.events.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return leases(requests, 86400).groupBy(F.col("job").alias("user_id")).agg(F.count_if("granted").alias("granted"))
 
 
-@P.add("job_notification", "SELECT event_id, event_type AS state, 'job' AS kind FROM events")
+@P.add("job_notification", "SELECT event_id AS id, event_type AS state, 'job' AS kind FROM events")
 def _(t):
-    return t.events.select("event_id", F.col("event_type").alias("state"), F.lit("job").alias("kind"))
+    from lakeleaf.operators.checks import notification
+
+    return notification(t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("state"), F.col("props").alias("spec")))
 
 
 @P.add("finding_transition", "SELECT user_id, CASE least(count(*), 4) WHEN 1 THEN 'reproduced' WHEN 2 THEN 'fixed' WHEN 3 THEN 'verified' ELSE 'verified' END AS state FROM events WHERE event_type = 'error' GROUP BY user_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: tuple[str, ...] = ("retrieval_plans", "url_plans", "catalogue_plans", "report_plans")
+MODULES: tuple[str, ...] = ("retrieval_plans", "url_plans", "catalogue_plans", "report_plans", "streaming_plans")
 
 
 def _modules():

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lakeleaf.functions import http, urls
 from lakeleaf.operators import archive as A
+from lakeleaf.operators import checks as V
 from lakeleaf.operators import crawl as K
 from lakeleaf.operators import discover as D
 from lakeleaf.operators import extract as X
@@ -269,28 +270,11 @@ def _(t):
     return _files(t).select("path", "sha256", "size")
 
 
-@P.add("lock_validate", "SELECT count(*) AS entries, count(DISTINCT s_name) = count(*) AS unique_paths FROM supplier")
-def _(t):
-    return _files(t).agg(F.count("*").alias("entries"), (F.count_distinct("path") == F.count("*")).alias("unique_paths"))
-
-
 @P.add("lock_inventory", "SELECT s_nationkey AS role, count(*) AS entries FROM supplier GROUP BY 1")
 def _(t):
     return t.supplier.groupBy(F.col("s_nationkey").alias("role")).agg(F.count("*").alias("entries"))
 
 
-@P.add("acceptance_status", "SELECT s_nationkey AS grp, CASE WHEN min(s_acctbal) < 0 THEN 'failed' WHEN min(s_acctbal) < 2000 THEN 'pending' ELSE 'passed' END AS status FROM supplier GROUP BY 1")
-def _(t):
-    rank = F.max(F.when(F.col("s_acctbal") < 0, 2).when(F.col("s_acctbal") < 2000, 1).otherwise(0))
-    return t.supplier.groupBy(F.col("s_nationkey").alias("grp")).agg(F.when(rank == 2, "failed").when(rank == 1, "pending").otherwise("passed").alias("status"))
-
-
-@P.add("receipt_bind", "SELECT s_name AS path, true AS bound FROM supplier")
-def _(t):
-    f = _files(t)
-    return f.select("path", "sha256", "size").join(f.select("path", F.col("sha256").alias("s"), F.col("size").alias("z")), "path").select("path", ((F.col("s") == F.col("sha256")) & (F.col("z") == F.col("size"))).alias("bound"))
-
-
 # --- archive ------------------------------------------------------------------------
 _RECORDS = "WITH r AS (SELECT doc_id AS seq, sha256(text) AS digest, octet_length(encode(text)) AS size, min(doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE text IS NOT NULL)"
 
@@ -626,15 +610,41 @@ def _(t):
     return t.spark.createDataFrame([(m,) for m in sorted(MODES)], "mode string")
 
 
-@P.add("validate_text_coverage", "SELECT l_orderkey, l_linenumber, l_quantity <= 40 AS good FROM lineitem")
+@P.add("lock_validate", "SELECT s_name AS path, CASE s_suppkey % 4 WHEN 0 THEN 'scheme' WHEN 1 THEN 'digest' WHEN 2 THEN 'size' END AS problem FROM supplier WHERE s_suppkey % 4 <> 3")
+def _(t):
+    k = F.col("s_suppkey") % 4
+    lock = t.supplier.select(F.col("s_name").alias("role"), F.col("s_name").alias("path"), F.when(k == 0, "http://x").otherwise("https://x").alias("url"), F.when(k == 1, "0").otherwise(F.sha2("s_name", 256)).alias("sha256"), F.when(k == 2, 0).otherwise(9).alias("size"))
+    return V.lock_problems(lock)
+
+
+@P.add("acceptance_status", "SELECT s_nationkey AS grp, CASE WHEN min(s_acctbal) < 0 THEN 'failed' WHEN min(s_acctbal) < 2000 THEN 'pending' ELSE 'passed' END AS status FROM supplier GROUP BY 1")
+def _(t):
+    m = t.supplier.select(F.col("s_nationkey").alias("grp"), F.when(F.col("s_acctbal") < 0, "failed").when(F.col("s_acctbal") < 2000, "pending").otherwise("passed").alias("status"))
+    return V.acceptance(m)
+
+
+@P.add("receipt_bind", "SELECT s_name AS path, s_suppkey % 3 <> 0 AS bound FROM supplier")
+def _(t):
+    f = _files(t)
+    return V.bound(f.select("path", "sha256", "size"), f.select("path", F.when(F.col("s_suppkey") % 3 == 0, "0").otherwise(F.col("sha256")).alias("sha256"), "size"))
+
+
+def _coverage(t):
+    """Coverage of line items as if quantities were pages."""
+    gone = F.when(F.col("l_linenumber") > 1, F.sequence(F.lit(1), F.col("l_linenumber") - 1)).otherwise(F.array().cast("array<int>"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.struct(F.lit("text_layer").alias("scope"), F.lit(40).alias("total"), F.col("l_quantity").cast("int").alias("visited"), (F.col("l_quantity").cast("int") - F.col("l_linenumber") + 1).alias("filled"), gone.alias("missing"), (F.col("l_quantity") * 2_000_000).cast("long").alias("pixels")).alias("c"))
+
+
+@P.add("validate_text_coverage", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity <= 40 AND l_quantity - l_linenumber + 1 >= 0 AS good FROM lineitem")
 def _(t):
-    c = F.struct(F.lit("pages").alias("scope"), F.lit(40.0).alias("total"), F.col("l_quantity").alias("visited"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", (c["visited"] <= c["total"]).alias("good"))
+    return _coverage(t).select("l_orderkey", "l_linenumber", "l_partkey", V.text_coverage_ok(F.col("c")).alias("good"))
 
 
-@P.add("validate_ocr_coverage", "SELECT l_orderkey, l_linenumber, l_linenumber <= 16 AND l_quantity * 2000000 <= 64000000 AS good FROM lineitem")
+@P.add("validate_ocr_coverage", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity <= 16 AND l_quantity >= l_linenumber AS good FROM lineitem WHERE l_quantity >= l_linenumber")
 def _(t):
-    return t.lineitem.select("l_orderkey", "l_linenumber", ((F.col("l_linenumber") <= 16) & (F.col("l_quantity") * 2_000_000 <= 64_000_000)).alias("good"))
+    c = F.col("c")
+    pages = F.when(c["filled"] > 0, F.sequence(F.col("l_linenumber"), F.col("l_linenumber") + c["filled"] - 1)).otherwise(F.array().cast("array<int>"))
+    return _coverage(t).where("c.filled > 0").select("l_orderkey", "l_linenumber", "l_partkey", V.ocr_coverage_ok(c, pages, F.lit("partial")).alias("good"))
 
 
 QUERIES, ORACLE_SQL = P.queries, P.sql
