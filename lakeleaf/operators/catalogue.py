@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lakeleaf.functions import http
 from lakeleaf.operators.extract import sorted_json
+from lakeleaf.operators.tables import kept
 
 # Labels and states.
 HANDLING = ("public", "unknown", "restricted", "quarantined", "revoked")
@@ -54,10 +55,10 @@ def with_moves(rows: DataFrame) -> DataFrame:
     known = parent.select(F.col("url").alias("p_url"), F.col("since").alias("p_since"))
     parent = parent.join(known, parent.parent == known.p_url, "left")
     bad = F.col("parent").isNotNull() & (F.col("p_since").isNull() | (F.col("p_since") >= F.col("since")))
-    now = parent.select("url", "since", bad.alias("bad"), F.when(~bad & F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("url")).alias("root"))
+    now = kept(parent.select("url", "since", bad.alias("bad"), F.when(~bad & F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("url")).alias("root")), "moves")
     for _ in range(40):  # doubles the followed distance, so chains of 2 ** 40 moves end
         up = now.select(F.col("url").alias("u"), F.col("root").alias("r"))
-        after = now.join(up, now.root == up.u).select("url", "since", "bad", F.col("r").alias("root"))
+        after = kept(now.join(up, now.root == up.u).select("url", "since", "bad", F.col("r").alias("root")), "moves")
         if after.exceptAll(now).isEmpty():
             break
         now = after

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeleaf.functions import http, urls
+from lakeleaf.operators.tables import kept
 
 
 def ordered_frontier(frontier: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, domains: list[s
     round joins only the newest pages with the links and leaves out what was seen; rounds are at most max_depth + 1.
     ``max_pages`` bounds attempted pages, in order of depth and address.
     """
-    canon = links.select(urls.canonical("source").alias("source"), urls.canonical("target").alias("target")).where("source is not null and target is not null").distinct()
+    canon = kept(links.select(urls.canonical("source").alias("source"), urls.canonical("target").alias("target")).where("source is not null and target is not null").distinct(), "links")
     fresh = seeds.select(urls.canonical("url").alias("url")).where("url is not null").distinct().withColumn("depth", F.lit(0))
     seen = fresh.withColumn("reason", F.when(~urls.in_scope("url", domains), "out_of_scope"))
     fresh = seen.where("reason is null").select("url", "depth")
@@ -28,15 +29,17 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, domains: list[s
         found = fresh.join(canon, fresh.url == canon.source).select(F.col("target").alias("url")).distinct()
         found = found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
         reason = F.when(~urls.in_scope("url", domains), "out_of_scope").when(F.col("depth") > max_depth, "depth_limit")
-        found = found.withColumn("reason", reason)
+        found = kept(found.withColumn("reason", reason), "frontier")  # else each round computes all before it twice
+        if found.isEmpty():
+            break
         seen = seen.unionByName(found)
         fresh = found.where("reason is null").select("url", "depth")
     out = seen.select("url", "depth", F.when(F.col("reason").isNull(), "queued").otherwise("excluded").alias("state"), "reason")
     if max_pages is not None:
         from lakeleaf.operators.windows import global_rank
 
-        kept = global_rank(out.where("state = 'queued'"), [F.asc("depth"), F.asc("url")], "n").select("url", "n")
-        out = out.join(kept, "url", "left").withColumn("state", F.when(F.col("n") > max_pages, "pending").otherwise(F.col("state"))).drop("n")
+        first = global_rank(out.where("state = 'queued'"), [F.asc("depth"), F.asc("url")], "n").select("url", "n")
+        out = out.join(first, "url", "left").withColumn("state", F.when(F.col("n") > max_pages, "pending").otherwise(F.col("state"))).drop("n")
     return out
 
 

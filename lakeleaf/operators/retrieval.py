@@ -242,23 +242,12 @@ def _phrases(tree) -> list[Phrase]:
     return [tree] if isinstance(tree, Phrase) else _phrases(tree.left) + _phrases(tree.right)
 
 
-def _frequency(words: Column, p: Phrase) -> Column:
+def _frequency(line: Column, p: Phrase) -> Column:
+    """Places of a phrase in tokens joined by single blanks (one at each end); places may overlap."""
     if not p.words:
         return F.lit(0.0)
-
-    def same(i, k):
-        last = k == len(p.words) - 1
-        w = F.get(words, i + k)
-        return F.startswith(w, F.lit(p.words[k])) if last and p.prefix else w == p.words[k]
-
-    def here(i):
-        out = same(i, 0)
-        for k in range(1, len(p.words)):
-            out = out & same(i, k)
-        return out
-
-    places = F.when(F.size(words) >= len(p.words), F.sequence(F.lit(0), F.size(words) - len(p.words))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, lambda i: F.coalesce(here(i), F.lit(False)))).cast("double")
+    # tokens are letters and digits, so the pattern needs no escapes
+    return F.regexp_count(line, F.lit(f"(?= {' '.join(p.words)}{'' if p.prefix else ' '})")).cast("double")
 
 
 def full_text(index: DataFrame, query: str, limit: int | None = None, id_col: str = "derivative_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +257,7 @@ def full_text(index: DataFrame, query: str, limit: int | None = None, id_col: st
         _limit_ok(limit, 100)
     phrases = list(dict.fromkeys(_phrases(tree)))
     rows = index.select(F.col(id_col).alias("id"), search_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    counts = rows.select("id", F.size("t").cast("double").alias("words"), F.array(*[_frequency(F.col("t"), p) for p in phrases]).alias("tf"))
+    counts = rows.select("id", F.size("t").cast("double").alias("words"), F.array(*[_frequency(F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")), p) for p in phrases]).alias("tf"))
 
     def holds(node) -> Column:
         if isinstance(node, Phrase):

@@ -5,10 +5,10 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeleaf.functions import urls
 from lakeleaf.operators import archive as A
 from lakeleaf.operators import checks as V
 from lakeleaf.operators import windows as W
+from lakeleaf.operators.tables import shared_folder
 from lakeleaf.plans.base import Plans
 from lakeleaf.sources import files, sinks, warc_files
 from lakeleaf.streaming import journal as J
@@ -268,22 +268,16 @@ def _(t):
 @P.add("stream_reopen", "SELECT user_id, count(*) AS rows FROM events GROUP BY user_id")
 def _(t):
     """Recovery without loss or repeats: the stream is stopped half-way and goes on from its checkpoint."""
-    import uuid
-
-    from lakeleaf.sources.sinks import idempotent_batches
-
-    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lakeleaf-streams").rstrip("/") + f"/lakeleaf/reopen-{uuid.uuid4().hex}"
+    root = _folder(t, "reopen")
     for _ in range(2):
-        q = _stream(t).writeStream.option("checkpointLocation", root + "/state").foreachBatch(idempotent_batches(root + "/out")).trigger(availableNow=True).start()
+        q = _stream(t).writeStream.option("checkpointLocation", root + "/state").foreachBatch(sinks.idempotent_batches(root + "/out")).trigger(availableNow=True).start()
         q.awaitTermination()
     return t.spark.read.schema(t.events.schema).option("recursiveFileLookup", "true").parquet(root + "/out").groupBy("user_id").agg(F.count("*").alias("rows"))
 
 
 @P.add("sink_atomic_segment", "SELECT event_type, count(*) AS rows FROM events GROUP BY event_type")
 def _(t):
-    import uuid
-
-    path = (t.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lakeleaf-streams").rstrip("/") + f"/lakeleaf/segment-{uuid.uuid4().hex}"
+    path = _folder(t, "segment")
     t.events.write.partitionBy("event_type").parquet(path)
     return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("rows"))
 
@@ -338,9 +332,7 @@ def _(t):
 
 
 def _folder(t, name: str) -> str:
-    import uuid
-
-    return (t.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lakeleaf-streams").rstrip("/") + f"/lakeleaf/{name}-{uuid.uuid4().hex}"
+    return shared_folder(t.spark, name)
 
 
 @P.add("scan_jsonl_events", "SELECT event_type AS stage, count(*) AS n FROM events GROUP BY event_type")
@@ -365,11 +357,6 @@ def _(t):
     return warc_files.inputs(t.spark, path).agg(F.count("*").alias("inputs"))
 
 
-@P.add("agg_chunk_progress", "SELECT user_id, count(*) AS chunks FROM events GROUP BY user_id")
-def _(t):
-    return t.events.groupBy("user_id").agg(F.count("*").alias("chunks"))
-
-
 @P.add("sink_ledger_atomic", "SELECT count(*) AS rows FROM events")
 def _(t):
     path = _folder(t, "ledger")
@@ -413,11 +400,6 @@ def _(t):
     return t.events.select("event_id", schedule("ts", 60).alias("next"))
 
 
-@P.add("archive_host_counts", "SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
-def _(t):
-    return t.pages.groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("n"))
-
-
 @P.add("global_rank", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS rank FROM lineitem")
 def _(t):
     rows = W.global_rank(t.lineitem, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")])
