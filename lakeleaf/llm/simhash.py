@@ -79,14 +79,27 @@ def _signed(x: int) -> int:
 
 
 def _index(fps: DataFrame, links: int) -> DataFrame:
-    """(key, seg, bit, fp, node): one row for each segment and wiped bit; key packs the place and the segment without that bit."""
-    rows = []
-    for s, (first, width) in enumerate(segments(links)):
-        part = F.expr(f"shiftrightunsigned(fp, {first})").bitwiseAND(F.lit((1 << width) - 1))
-        for bit in range(width):
-            rows.append(F.struct(F.lit((s << 6) | bit).alias("place"), part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))).alias("rest")))
-    out = fps.select("node", "fp", F.explode(F.array(*rows)).alias("v"))
-    return out.select("node", "fp", F.col("v.place").alias("place"), F.shiftleft(F.col("v.rest"), 8).bitwiseOR(F.col("v.place").cast("long")).alias("key"))
+    """(node, fp, place, key): one row for each segment and wiped bit; key packs the place and the segment without that bit.
+
+    Written over one sequence of bit numbers, so that the plan stays short whatever the number of places.
+    """
+    parts = segments(links)
+
+    def pick(i, values: list[int]):
+        out = F.lit(values[-1])
+        for (first, width), v in reversed(list(zip(parts[:-1], values[:-1]))):
+            out = F.when(i < first + width, F.lit(v)).otherwise(out)
+        return out
+
+    bits = F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))
+    rows = fps.select("node", "fp", bits.alias("i"))
+    i = F.col("i")
+    first = pick(i, [f for f, _ in parts])
+    mask = pick(i, [(1 << w) - 1 for _, w in parts]).cast("long")
+    place = pick(i, [s << 6 for s in range(len(parts))]) + i - first
+    rows = rows.select("node", "fp", "i", place.alias("place"), first.alias("first"), mask.alias("mask"))
+    key = F.expr("shiftleft(shiftrightunsigned(fp, first) & mask & ~shiftleft(1L, i - first), 8) | CAST(place AS BIGINT)")
+    return rows.select("node", "fp", "place", key.alias("key"))
 
 
 def _first_shared(links: int):
@@ -123,9 +136,10 @@ def link_pairs(fps: DataFrame, links: int = 4, hot: int = 128) -> DataFrame:
                     v = fp[lo : lo + 256, None] ^ masks
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[lo : lo + 256], len(masks))), pa.array(v.ravel().view(np.int64))], names=["node", "variant"])
 
-        variants = group.mapInArrow(near, "node long, variant long")
+        # the planner takes variants for as small as their input, so both sides are told to shuffle
+        variants = group.mapInArrow(near, "node long, variant long").hint("merge")
         least = variants.groupBy("variant").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
-        edges = variants.join(least, "variant").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+        edges = variants.join(least.hint("merge"), "variant").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     left, right = cold, cold.select(F.col("key"), F.col("node").alias("node2"), F.col("fp").alias("fp2"))
     pairs = left.join(right.hint("merge"), "key").where((F.col("fp") < F.col("fp2")) & _first_shared(links)).select(F.col("node").alias("a"), F.col("node2").alias("b"))
     return pairs if edges is None else pairs.unionByName(edges)
