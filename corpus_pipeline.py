@@ -14,9 +14,16 @@ from lakeleaf.llm.common import written
 from lakeleaf.llm.queries import tokenizer_path
 
 
+def unused(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = langid.predict(docs, langid.fit(docs))
-    return scored.where("not rejected").select(*docs.columns)
+    names = tuple(unused(n, docs.columns) for n in ("lang_pred", "score", "rejected"))
+    scored = langid.predict(docs, langid.fit(docs), names)
+    return scored.where(~scored[names[2]]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ score falls below a calibrated floor are marked as rejected: the floor is the la
 which at most ``reject_rate`` of the calibration documents fall.
 
 The fit uses a bounded sample of labelled rows: the ``sample`` rows with the smallest hash of doc_id (default
-2000), cut into pieces of at most ``piece`` bytes that are all used. Everything else covers all rows and whole texts.
+1500), cut into pieces of at most ``piece`` bytes that are all used. Everything else covers all rows and whole texts.
 
 Defined cases: null text and text without any letter are ``und`` with score 0 and rejected; rows without a
 lang never train; if nothing can be learned from, every text is ``und``; repeated rows are scored alike.
@@ -80,7 +80,7 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, epochs: int = 4, rate: float = 0.5, piece: int = 600, reject_rate: float = 0.001, seed: int = 7) -> Model:
+def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, epochs: int = 2, rate: float = 0.5, piece: int = 600, reject_rate: float = 0.001, seed: int = 7, least_steps: int = 400) -> Model:
     """SGD over pieces of the texts, in mini-batches; one text in eight is held back for calibration."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -95,6 +95,7 @@ def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, e
     layer = rng.normal(0, 0.1, (dim, len(names))).astype(np.float32)
     bias = np.zeros(len(names), np.float32)
     target = np.array(target, np.int64)
+    epochs = max(epochs, -(-32 * least_steps // max(1, len(pieces)))) if pieces else 0  # small tables are seen more often
     steps, done = max(1, epochs * len(pieces)), 0
     for _ in range(epochs):
         order = rng.permutation(len(pieces))
@@ -141,7 +142,7 @@ def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, e
     return model
 
 
-def fit(docs: DataFrame, sample: int = 2000, **options) -> Model | None:
+def fit(docs: DataFrame, sample: int = 1500, **options) -> Model | None:
     """Fit on at most ``sample`` labelled rows of ``docs`` (doc_id, text, lang) whose crc32(doc_id) mod 5 is not 0."""
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     # the threshold on the hash comes from a count, so that the sort handles about ``sample`` rows, whatever the table's size
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, sample: int = 2000, **options) -> Model | None:
         return None
     h = F.abs(F.xxhash64("doc_id", F.lit(11)) % F.lit(1 << 40))
     near = rows.where(h <= F.lit(int(min(1, 1.2 * sample / n + 50 / n) * (1 << 40))))
-    got = near.select(h.alias("h"), "doc_id", "lang", "text").orderBy("h", "doc_id").limit(sample).collect()
+    got = near.select(h.alias("h"), "doc_id", "lang", "text").orderBy("h", "doc_id", "lang", F.xxhash64("text")).limit(sample).collect()
     return train([r.text.encode() for r in got], [r.lang for r in got], **options)
 
 
@@ -158,8 +159,9 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` (any columns, text among them) with lang_pred, score and rejected."""
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` (any columns, text among them) with three more columns; columns of ``docs`` that have their names are replaced."""
+    docs = docs.drop(*names)
     import regex
     from pyspark.sql import types as T
 
@@ -184,7 +186,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         lang.append(model.langs[best])
                         score.append(float(min(1.0, p[i - lo][best])))
                         rejected.append(score[-1] < model.floor)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*b.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*b.schema.names, *names])
 
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
     return docs.mapInArrow(run, out)

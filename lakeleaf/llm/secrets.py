@@ -178,7 +178,8 @@ def as_text(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[REDACTED]", q: float = 0.05) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; overlapping spans become one. n_chars follows if there is one."""
-    rows = scan(docs, q, docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # names of ``docs`` cannot meet the scan's own
+    rows = scan(packed, q, ["_row", "text"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -187,8 +188,15 @@ def redacted(docs: DataFrame, mark: str = "[REDACTED]", q: float = 0.05) -> Data
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     text = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.call_function("substr", F.col("text"), acc["at"] + 1)))
-    clean = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
-    out = rows.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    found = F.size("spans") > 0
+    rows = rows.select("_row", found.alias("_found"), F.when(found, text).otherwise(F.col("text")).alias("_text"))
+    out = []
+    for c in docs.columns:
+        old = F.col("_row").getField(c)
+        if c == "text":
+            out.append(F.col("_text").alias(c))
+        elif c == "n_chars":
+            out.append(F.when(F.col("_found"), F.length("_text").cast(docs.schema[c].dataType)).otherwise(old).alias(c))
+        else:
+            out.append(old.alias(c))
+    return rows.select(*out)
