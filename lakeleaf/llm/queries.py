@@ -69,4 +69,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_warc, op4_substring_dedup, op5_sharding, op6_quality_rules, op7_suffix_dedup, op8_language_id, op9_packing, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+#: SQL twins of the operators that SQL can express; the others are tested against brute force.
+ORACLE_SQL = {
+    "op3_warc": """SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+ CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY coalesce(html, '')) THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY coalesce(html, '')) THEN max(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers_to FROM pages""",
+    "op4_substring_dedup": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13), g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p),
+ m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM g), r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM m WHERE least < doc_id),
+ c AS (SELECT doc_id, list(k) AS gone FROM r GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+ sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id""",
+}
