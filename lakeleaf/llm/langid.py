@@ -13,7 +13,7 @@ The fit uses a bounded sample of labelled rows: the ``sample`` rows with the sma
 1500), cut into pieces of at most ``piece`` bytes that are all used. Everything else covers all rows and whole texts.
 
 Defined cases: null text and text without any letter are ``und`` with score 0 and rejected; rows without a
-lang never train; if nothing can be learned from, every text is ``und``; repeated rows are scored alike.
+lang never train; if nothing can be learned from, every text is ``und``; repeated rows are scored alike; a null doc_id counts as held out.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, sample: int = 1500, **options) -> Model | None:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
