@@ -20,8 +20,8 @@ from lakeleaf.llm.common import byte_slices, keyed, shuffle_partitions
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-CHUNK = 2 << 20
-FLUSH = 48 << 20
+CHUNK = 1 << 20
+FLUSH = 32 << 20
 OUT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
 #: Kinds of blobs: strings to be judged, and spans that are decided already.
 STRINGS, SPANS = 0, 1
