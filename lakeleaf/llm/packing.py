@@ -1,10 +1,18 @@
 """Packing by lexical retrieval.
 
 Documents are tokenised, closed with ``end_id`` and cut: whole windows of ``window`` tokens are sequences of
-their own, the rest of each document (shorter than a window) goes to a shard by hash. A shard holds about
-``per_shard`` documents whatever the input's size; it builds a BM25 inverted index over the rests (terms are
-token ids) and fills one window after another: a seed, then its best unused neighbours that fit, then as much
-of the best neighbour left as closes the window; what is cut off stays in the index. A shard's last window is
+their own, the rest of each document (shorter than a window) is packed with related rests.
+
+Retrieval is BM25 over the rests' terms (token ids), each document's query being its 24 of the highest idf; number
+of documents, document frequencies and mean length are those of the whole table. A table of at most
+``per_shard`` documents is one fill task. A larger one is grouped by likeness: documents' BM25 vectors are
+projected to ``DIMS`` numbers, a tree of two-means splits is fitted on a bounded sample, and runs of neighbouring
+leaves make fill tasks of about ``per_shard`` documents whatever the input's size. A leaf that holds more (copies,
+mostly) is divided by hash. Retrieval is exact inside a fill task; a neighbour that the tree puts elsewhere is not
+reached, so recall is measured (README) and falls with the number of fill tasks, but not as one over it.
+
+A fill task makes one window after another: a seed, then its best unused neighbours that fit, then as much
+of the best neighbour left as closes the window; what is cut off stays in the index. A task's last window is
 cut into powers of two, so nothing is padded.
 
 Ids are those of the ``tokenizers`` file. Text is tokenised by cached pieces; the vocabulary and merge order of
@@ -28,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeleaf.llm.common import written
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -117,67 +127,236 @@ def worker_encoder(path: str) -> Encoder:
     return kept.__dict__[path]
 
 
+def forget_encoders() -> None:
+    """Frees a worker's encoders where nothing is left to encode."""
+    sys.modules.pop("_lakeleaf_encoders", None)
+
+
 def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def pieces(batches, rows: int = 1000):
+    """Batches of at most ``rows`` rows: bounds the buffers on both sides."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.slice(lo, rows)
+
+
+def bag_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms and their counts."""
+    return np.unique(ids, return_counts=True)
+
+
 def tokenised(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
-    """(doc_id, tokens, full, rest): token count, CRCs of the whole windows, ids of the rest."""
+    """(doc_id, tokens, full, rest, mix, terms, counts): token count, CRCs of the whole windows, ids of the rest, the whole document's terms without ``end_id``."""
 
     def run(batches):
         encoder = worker_encoder(tokenizer)
-        for b in batches:
-            tokens, full, rest = [], [], []
+        for b in pieces(batches):
+            tokens, full, rest, terms, counts = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 ids = np.frombuffer(encoder.encode(t or "") + np.uint16(end_id).tobytes(), np.uint16)
                 whole = len(ids) // window * window
                 tokens.append(len(ids))
                 full.append(np.array([crc_of(ids[k : k + window]) for k in range(0, whole, window)], np.uint32).tobytes())
                 rest.append(ids[whole:].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(full, pa.binary()), pa.array(rest, pa.binary()), b.column(2)], names=["doc_id", "tokens", "full", "rest", "mix"])
+                term, count = bag_of(ids[:-1])
+                terms.append(term.astype(np.uint16).tobytes())
+                counts.append(count.astype(np.uint32).tobytes())
+            columns = [b.column(0), pa.array(tokens, pa.int64()), *(pa.array(c, pa.binary()) for c in (full, rest)), b.column(2), *(pa.array(c, pa.binary()) for c in (terms, counts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "full", "rest", "mix", "terms", "counts"])
+
+    out = "doc_id long, tokens long, full binary, rest binary, mix long, terms binary, counts binary"
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("mix")).mapInArrow(run, out)
+
+
+class Stats:
+    """Figures of the whole table: documents, mean length, document frequency of each term."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean = max(1, n), max(1.0, mean)
+        self.idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("mix")).mapInArrow(run, "doc_id long, tokens long, full binary, rest binary, mix long")
+    def weight(self, term, tf, length, k1: float = 1.2, b: float = 0.75):
+        return self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / self.mean))
+
+
+def stats_of(rows: DataFrame) -> Stats:
+    """At most one row for each token id and two more reach the driver."""
+
+    def count(batches):
+        df, docs, length = np.zeros(65536, np.int64), 0, 0
+        for b in batches:
+            df += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint16), minlength=65536)
+            docs += len(b)
+            length += sum(b.column(1).to_pylist())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1, -2], pa.int64()), pa.array([*df[some].tolist(), docs, length], pa.int64())], names=["term", "n"])
+
+    got = dict(rows.select("terms", "tokens").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pandas().values.tolist())
+    n, length = got.pop(-1, 0), got.pop(-2, 0)
+    df = np.zeros(65536, np.int64)
+    df[list(got)] = list(got.values())
+    return Stats(n, (length - n) / max(1, n), df)
+
+
+DIMS = 128
+
+
+def likeness(terms: list[np.ndarray], counts: list[np.ndarray], stats: Stats) -> np.ndarray:
+    """Unit vectors of documents: BM25 weights, projected at random."""
+    kept = sys.modules.setdefault("_lakeleaf_projection", types.ModuleType("_lakeleaf_projection"))
+    if "basis" not in kept.__dict__:
+        kept.basis = np.random.default_rng(11).standard_normal((65536, DIMS), np.float32)
+    out = np.zeros((len(terms), DIMS), np.float32)
+    for i, (t, c) in enumerate(zip(terms, counts)):
+        if len(t):
+            v = stats.weight(t, c, c.sum()).astype(np.float32) @ kept.basis[t]
+            out[i] = v / (np.linalg.norm(v) or 1)
+    return out
+
+
+class Tree:
+    """Two-means splits of a sample down to leaves of ``least`` documents; each leaf has its first fill task and how many it is divided into."""
+
+    def __init__(self, sample: np.ndarray, scale: float, per_shard: int):
+        self.normal, self.limit, self.child, sizes = [], [], [], []
+        least = per_shard / 4
+
+        def grow(idx) -> int:
+            """A node's number, or -1 - leaf; leaves are numbered from left to right."""
+            x = sample[idx]
+            side = None
+            if len(idx) * scale > least and len(idx) > 1:
+                centred = x - x.mean(0)
+                axis = centred[np.argmax((centred**2).sum(1))]
+                for _ in range(4):
+                    axis = centred.T @ (centred @ axis)
+                    axis = axis / (np.linalg.norm(axis) or 1)
+                side = centred @ axis > 0
+                for _ in range(6):
+                    if side.all() or not side.any():
+                        break
+                    one, two = x[~side].mean(0), x[side].mean(0)
+                    normal, limit = two - one, (two @ two - one @ one) / 2
+                    side = x @ normal > limit
+            if side is None or side.all() or not side.any():
+                sizes.append(len(idx) * scale)
+                return -len(sizes)
+            at = len(self.normal)
+            self.normal.append(normal)
+            self.limit.append(limit)
+            self.child.append(None)
+            self.child[at] = (grow(idx[~side]), grow(idx[side]))
+            return at
+
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, 2 * len(sample) + 1000))
+        self.root = grow(np.arange(len(sample)))
+        sys.setrecursionlimit(limit)
+        self.first, self.parts, now, room = [], [], -1, 0.0
+        for size in sizes:
+            if size > per_shard:
+                parts, room = int(-(-size // per_shard)), 0.0
+                self.first.append(now + 1)
+                now += parts
+            else:
+                if size > room:
+                    now, room = now + 1, float(per_shard)
+                parts, room = 1, room - size
+                self.first.append(now)
+            self.parts.append(parts)
+        self.normal, self.limit, self.child = np.array(self.normal, np.float32).reshape(-1, DIMS), np.array(self.limit, np.float32), np.array(self.child, np.int64).reshape(-1, 2)
+        self.first, self.parts = np.array(self.first, np.int64), np.array(self.parts, np.int64)
+
+    def shard(self, vectors: np.ndarray, mix: np.ndarray) -> np.ndarray:
+        node = np.full(len(vectors), self.root)
+        while (inner := np.flatnonzero(node >= 0)).size:
+            at = node[inner]
+            right = np.einsum("ij,ij->i", vectors[inner], self.normal[at]) > self.limit[at]
+            node[inner] = self.child[at, right.astype(np.int64)]
+        leaf = -1 - node
+        return self.first[leaf] + mix % self.parts[leaf]
+
+
+def sharded(rows: DataFrame, stats: Stats, per_shard: int, sample: int = 20_000) -> DataFrame:
+    """``rows`` with the fill task of each, by likeness; ``sample``: documents that the tree is fitted on, about."""
+    if stats.n <= per_shard:
+        return rows.withColumn("shard", F.lit(0).cast("long"))
+    terms_of = lambda b: [[np.frombuffer(x.as_buffer(), kind) for x in b.column(name)] for name, kind in (("terms", np.uint16), ("counts", np.uint32))]
+
+    def vectors(batches):
+        for b in batches:
+            out = likeness(*terms_of(b), stats)
+            yield pa.RecordBatch.from_arrays([b.column("mix"), pa.array([v.tobytes() for v in out], pa.binary())], names=["mix", "v"])
+
+    every = max(1, stats.n // sample)
+    got = rows.where(F.pmod("mix", F.lit(every)) == 0).select("mix", "terms", "counts").mapInArrow(vectors, "mix long, v binary").limit(2 * sample).toArrow().sort_by("mix")
+    x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float32).reshape(-1, DIMS)
+    tree = Tree(x, stats.n / max(1, len(x)), per_shard)
+
+    def place(batches):
+        forget_encoders()
+        for b in pieces(batches):
+            where = tree.shard(likeness(*terms_of(b), stats), b.column("mix").to_numpy())
+            yield b.append_column("shard", pa.array(where, pa.int64()))
+
+    return rows.mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", shard long")
 
 
 class Index:
-    """BM25 inverted index of one shard: postings of every term, by term."""
-
-    def __init__(self, ids: list[np.ndarray], k1: float = 1.2, b: float = 0.75, terms: int = 24):
-        n = max(1, len(ids))
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(np.int64)
-        key, tf = np.unique(flat * n + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
-        term, self.doc = key // n, key % n
+    """BM25 inverted index of one fill task, with the whole table's figures: postings of every term, by term."""
+
+    def __init__(self, bags: list, stats: Stats | None = None, most: int = 24):
+        bags = [x if isinstance(x, tuple) else bag_of(x) for x in bags]
+        n = max(1, len(bags))
+        lengths = np.array([c.sum() for _, c in bags], np.int64)
+        held = np.array([len(t) for t, _ in bags], np.int64)
+        term = np.concatenate([*(t for t, _ in bags), np.zeros(0, np.uint16)]).astype(np.int64)
+        tf = np.concatenate([*(c for _, c in bags), np.zeros(0, np.int64)]).astype(np.int64)
+        doc = np.repeat(np.arange(len(bags)), held)
+        if stats is None:
+            stats = Stats(n, lengths.mean() if len(lengths) else 1.0, np.bincount(term, minlength=65536))
+        order = np.argsort(term, kind="stable")
+        term, self.doc = term[order], doc[order]
         new = np.concatenate(([True], term[1:] != term[:-1])) if len(term) else np.zeros(0, bool)
         self.first = np.flatnonzero(new)
-        self.last = np.append(self.first[1:], len(term)).astype(np.int64)
-        df = self.last - self.first
+        self.last = np.append(self.first[1:], len(term)).astype(np.int64)[: len(self.first)]
         slot = np.cumsum(new) - 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = max(1.0, lengths.mean()) if len(lengths) else 1.0
-        self.weight = idf[slot] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[self.doc] / mean))
+        self.weight = stats.weight(term, tf[order], lengths[self.doc])
         # each document's query: its terms of the greatest idf that some other document has too
-        shared = np.flatnonzero(df[slot] > 1)
-        order = shared[np.lexsort((slot[shared], -idf[slot[shared]], self.doc[shared]))]
-        at = np.searchsorted(self.doc[order], np.arange(len(ids) + 1))
-        self.query = [slot[order[a : min(z, a + terms)]] for a, z in zip(at, at[1:])]
-        self.n = len(ids)
+        shared = (self.last - self.first)[slot] > 1
+        by_doc = np.lexsort((slot[shared], -stats.idf[term[shared]], self.doc[shared]))
+        at, terms = np.searchsorted(self.doc[shared][by_doc], np.arange(len(bags) + 1)), slot[shared][by_doc]
+        self.query = [terms[a : min(z, a + most)] for a, z in zip(at, at[1:])]
+        self.n = len(bags)
+        # weights of terms that an eighth of the documents have lie in full rows; no more than eight rows for each term of a mean document
+        full = np.flatnonzero((self.last - self.first) * 8 >= self.n)
+        self.row = np.full(len(self.first), -1, np.int64)
+        self.row[full] = np.arange(len(full))
+        self.table = np.zeros((len(full), self.n), np.float32)
+        mine = self.row[slot] >= 0
+        self.table[self.row[slot[mine]], self.doc[mine]] = self.weight[mine]
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with the seed, best score first, then in order."""
         terms = self.query[seed]
         if not len(terms):
             return terms
-        where = np.concatenate([np.arange(self.first[t], self.last[t]) for t in terms])
-        score = np.bincount(self.doc[where], self.weight[where], self.n)
+        row = self.row[terms]
+        common, terms = self.table[row[row >= 0]].sum(0), terms[row < 0]
+        size = self.last[terms] - self.first[terms]
+        where = np.arange(size.sum()) + np.repeat(self.first[terms] - np.cumsum(size) + size, size)
+        score = np.bincount(self.doc[where], self.weight[where], self.n) + common
         score[seed] = 0
         found = np.flatnonzero((score > 0) & ~used)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def fill(ids: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, end) pieces over the rests of one shard."""
-    index = Index(ids)
+def fill(ids: list[np.ndarray], window: int, bags: list | None = None, stats: Stats | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, start, end) pieces over the rests of one fill task; ``bags``: terms of the whole documents."""
+    index = Index(ids if bags is None else bags, stats)
     n = len(ids)
     start, size = np.zeros(n, np.int64), np.array([len(x) for x in ids], np.int64)
     used, nxt, out = size == 0, 0, []
@@ -239,21 +418,23 @@ def powers_of_two(pieces: list[tuple[int, int, int]], window: int) -> list[list[
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, per_shard: int = 2048) -> DataFrame:
     """One row for each piece: which ids of which document lie where in which sequence."""
-    shards = max(1, -(-docs.count() // per_shard))
-    rows = tokenised(docs, tokenizer, window, end_id).withColumn("shard", F.pmod("mix", F.lit(shards)))
+    rows = written(tokenised(docs, tokenizer, window, end_id), "tokens")
+    stats = stats_of(rows)
+    rows = sharded(rows, stats, per_shard)
 
     def run(batches):
         def shard_rows(shard, docs):
             docs.sort(key=lambda r: (r[0] is None, r[0] or 0, r[4]))
             number, out = shard << 32, []
-            for doc, tokens, full, _, _ in docs:
+            for doc, tokens, full, *_ in docs:
                 for k, crc in enumerate(np.frombuffer(full, np.uint32).tolist()):
                     out.append((doc, k * window, window, crc, tokens, number, 0))
                     number += 1
             ids = [np.frombuffer(r[3], np.uint16) for r in docs]
-            for pieces in fill(ids, window):
+            bags = [(np.frombuffer(r[5], np.uint16), np.frombuffer(r[6], np.uint32)) for r in docs]
+            for sequence in fill(ids, window, None, stats):
                 offset = 0
-                for d, a, z in pieces:
+                for d, a, z in sequence:
                     doc, tokens = docs[d][:2]
                     out.append((doc, tokens - len(ids[d]) + a, z - a, crc_of(ids[d][a:z]), tokens, number, offset))
                     offset += z - a
@@ -261,8 +442,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, p
             for lo in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[lo : lo + 20_000])], names=[x.split()[0] for x in PIECES.split(", ")])
 
+        forget_encoders()
         now, gathered = None, []
-        for b in batches:
+        for b in pieces(batches):
             for shard, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if shard != now:
                     if gathered:
@@ -272,5 +454,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, p
         if gathered:
             yield from shard_rows(now, gathered)
 
-    parted = rows.repartition(F.col("shard")).sortWithinPartitions("shard").select("shard", "doc_id", "tokens", "full", "rest", "mix")
+    parted = rows.repartition(F.col("shard")).sortWithinPartitions("shard").select("shard", "doc_id", "tokens", "full", "rest", "mix", "terms", "counts")
     return parted.mapInArrow(run, PIECES)

@@ -149,6 +149,22 @@ def test_retrieval_prefers_related_neighbours():
     assert 2 not in index.neighbours(0, np.array([False, False, True, False]))
 
 
+def test_packing_brings_related_documents_together(spark):
+    public = pytest.importorskip("public_tokenizers")
+    rng = np.random.default_rng(8)
+    topics = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)] for _ in range(30)]
+    texts = [(20 * k + j, " ".join(rng.choice(topics[k], 60))) for j in range(20) for k in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    path = public.path("byte_bpe_50k.json")
+    rows = packing.tokenised(df, path, 1024, 0)
+    placed = packing.sharded(rows, packing.stats_of(rows), 40).select("doc_id", "shard").collect()
+    shards = defaultdict(Counter)
+    for r in placed:
+        shards[r.doc_id // 20][r.shard] += 1
+    assert len({r.shard for r in placed}) >= 10
+    assert np.mean([max(c.values()) / 20 for c in shards.values()]) > 0.9
+
+
 def test_quality(spark, docs, rows, empty):
     junk = [(1000 + i, " ".join(f"w{k}$$$" for k in range(60 + i)), 0) for i in range(40)]
     good = [(2000 + i, " ".join(f"w{k}" for k in range(60 + i)), 1) for i in range(120)]
