@@ -3,7 +3,7 @@
 Documents are tokenised, closed with ``end_id`` and cut: whole windows of ``window`` tokens are sequences of
 their own, the rest of each document (shorter than a window) is packed with related rests.
 
-Retrieval is BM25 over the rests' terms (token ids), each document's query being its 24 of the highest idf; number
+Retrieval is BM25 over the whole documents' terms (token ids), every term of a document being its query; number
 of documents, document frequencies and mean length are those of the whole table. A table of at most
 ``per_shard`` documents is one fill task. A larger one is grouped by likeness: documents' BM25 vectors are
 projected to ``DIMS`` numbers, a tree of two-means splits is fitted on a bounded sample, and runs of neighbouring
@@ -308,7 +308,7 @@ def sharded(rows: DataFrame, stats: Stats, per_shard: int, sample: int = 20_000)
 class Index:
     """BM25 inverted index of one fill task, with the whole table's figures: postings of every term, by term."""
 
-    def __init__(self, bags: list, stats: Stats | None = None, most: int = 24):
+    def __init__(self, bags: list, stats: Stats | None = None):
         bags = [x if isinstance(x, tuple) else bag_of(x) for x in bags]
         n = max(1, len(bags))
         lengths = np.array([c.sum() for _, c in bags], np.int64)
@@ -325,11 +325,11 @@ class Index:
         self.last = np.append(self.first[1:], len(term)).astype(np.int64)[: len(self.first)]
         slot = np.cumsum(new) - 1
         self.weight = stats.weight(term, tf[order], lengths[self.doc])
-        # each document's query: its terms of the greatest idf that some other document has too
+        # each document's query: all its terms that some other document here has too
         shared = (self.last - self.first)[slot] > 1
-        by_doc = np.lexsort((slot[shared], -stats.idf[term[shared]], self.doc[shared]))
+        by_doc = np.argsort(self.doc[shared], kind="stable")
         at, terms = np.searchsorted(self.doc[shared][by_doc], np.arange(len(bags) + 1)), slot[shared][by_doc]
-        self.query = [terms[a : min(z, a + most)] for a, z in zip(at, at[1:])]
+        self.query = [terms[a:z] for a, z in zip(at, at[1:])]
         self.n = len(bags)
         # weights of terms that an eighth of the documents have lie in full rows; no more than eight rows for each term of a mean document
         full = np.flatnonzero((self.last - self.first) * 8 >= self.n)
@@ -432,7 +432,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, p
                     number += 1
             ids = [np.frombuffer(r[3], np.uint16) for r in docs]
             bags = [(np.frombuffer(r[5], np.uint16), np.frombuffer(r[6], np.uint32)) for r in docs]
-            for sequence in fill(ids, window, None, stats):
+            for sequence in fill(ids, window, bags, stats):
                 offset = 0
                 for d, a, z in sequence:
                     doc, tokens = docs[d][:2]

@@ -149,6 +149,18 @@ def test_retrieval_prefers_related_neighbours():
     assert 2 not in index.neighbours(0, np.array([False, False, True, False]))
 
 
+def test_retrieval_uses_all_terms_of_whole_documents():
+    # 30 rarer terms shared with nobody but a decoy each; the true neighbour shares 200 commoner ones
+    rare, common = np.arange(100, 130), np.arange(1000, 1200)
+    ids = [np.concatenate([rare, common]), common, *([r, 5000 + r] for r in rare), *(common[:100] + 0 for _ in range(3))]
+    index = packing.Index([np.array(x, np.uint16) for x in ids])
+    assert index.neighbours(0, np.zeros(len(ids), bool))[0] == 1 and len(index.neighbours(0, np.zeros(len(ids), bool))) == len(ids) - 1
+    # rests share nothing, the documents' other windows do
+    rests = [np.array(x, np.uint16) for x in ([1] * 6, [2] * 6, [3] * 6)]
+    bags = [packing.bag_of(np.array(x, np.uint16)) for x in ([1, 8, 9], [2, 5, 6], [3, 8, 9])]
+    assert [d for d, _, _ in packing.fill(rests, 12, bags)[0]] == [0, 2]
+
+
 def test_packing_brings_related_documents_together(spark):
     public = pytest.importorskip("public_tokenizers")
     rng = np.random.default_rng(8)
