@@ -217,6 +217,33 @@ def test_decontamination(spark, docs, empty):
     assert blocks == got
 
 
+def test_decontamination_finds_all_that_verification_accepts(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(4000)]
+    prose = lambda n: list(rng.choice(words[2000:], n))
+    item = words[:60]
+    short = words[100:115]
+    rare = words[500:2000]
+    texts = [" ".join([*prose(40), *item, *prose(40)]) for _ in range(300)]  # nearly all documents hold the item: its terms weigh little
+    # three fifths of its words, spread, straddling passages at any place; rare words around them weigh much
+    for k in range(40):
+        kept = [w for j, w in enumerate(item) if j % 5 not in (1, 3)]
+        texts.append(" ".join([*rng.choice(rare, k * 3 + 60), *kept, *rng.choice(rare, 90)]))
+    # a short item's lighter words, in order: its heavier ones, which no document has, are changed
+    light = [w for j, w in enumerate(short) if j % 5 not in (1, 3)]
+    texts += [" ".join([*prose(60), *light]) for _ in range(60)]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    ).collect()}
+    assert found == {(k, 1) for k in range(340)} | {(k, 2) for k in range(340, 400)}
+
+
+def test_verification_accepts_any_window():
+    item, answer = [b"%d" % k for k in range(40)], [b"%d" % k for k in range(32, 40)]
+    words = item[:20] + [b"x"] * 100 + item[20:39]  # most of the item in the first window, the answer in the last
+    assert decontaminate.verified(item, answer, words, 0.45, 0.6, 0.8)[:2] == (19 / 40, 7 / 8)
+
+
 def test_longest_common_subsequence():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
