@@ -1,7 +1,8 @@
 """Secret scans by patterns and by a battery of randomness tests, in SQL functions only.
 
 Patterns (fixed rules): assignments of a credential, access keys, long hex. The battery adds spans: tokens of
-at least ``MIN_TOKEN`` characters that hold a letter and a digit get an encoding (hex, base32, base62, base64,
+at least ``MIN_TOKEN`` characters that hold a letter and a digit (the longest runs in base64 and in base64url, so each
+is cut at the other's characters, and ``=`` is kept as trailing padding only) get an encoding (hex, base32, base62, base64,
 base64url) by the characters they use. Under the hypothesis that the characters are drawn evenly from that
 alphabet, three tests give p-values: chi-squared (with its exact mean and variance at this length), the number
 of runs above and below the alphabet's middle, and lag-one serial correlation; three times the least is the
@@ -27,7 +28,8 @@ ASSIGN_HINT = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_TOKEN = 20
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+# Longest runs in base64 and in base64url; "=" only as trailing padding.
+TOKENS = tuple(rf"(?<![{c}])[{c}]{{20,}}(?![{c}])(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?" for c in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 KINDS = ("assign", "access", "hex", "random")
 # Alphabets by encoding.
 ALPHABETS = {
@@ -135,7 +137,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
         match_spans(text, ACCESS, 1, hint=text.contains("AKIA")),
         match_spans(text, HEX, 2),
     )
-    tokens = match_spans(text, TOKEN, 3, hint=text.rlike("[0-9]") & text.rlike(TOKEN))
+    tokens = F.array_distinct(F.concat(*[match_spans(text, t, 3, hint=text.rlike("[0-9]") & text.rlike(t)) for t in TOKENS]))
     rows = docs.select(*keep, base.alias("_base"), tokens.alias("_all"))
     loose = F.filter(
         "_all",
@@ -166,6 +168,8 @@ def scan(docs: DataFrame, q: float = 0.05, keep: list[str] | None = None) -> Dat
     rows = written(scanned(docs, keep), "secrets")
     found = limits(rows, q)
     over = F.filter("_tokens", lambda t: t["class"] > F.element_at(F.create_map(*[F.lit(x) for kv in found.items() for x in kv]), t["band"]))
+    rows = rows.withColumn("_over", over)
+    over = F.filter("_over", lambda t: ~F.exists("_over", lambda o: (o["start"] <= t["start"]) & (t["end"] <= o["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])))  # the longest only
     kind = "array<struct<start:int,kind:int,end:int>>"
     slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).cast(kind)
     return rows.select(*keep, F.sort_array(F.concat(slim(F.col("_base")), slim(over))).alias("spans"))

@@ -41,6 +41,14 @@ def test_secret_patterns(spark):
     assert secrets.scan(df.limit(0)).collect() == []
 
 
+def test_secret_tokens_inside_assignments_and_mixed_runs(spark):
+    texts = [f"client_key={RANDOM}", f"?sig={RANDOM}&x", f"AUTH={RANDOM}==", f"v1/ab-{RANDOM}", f"{RANDOM}", f"a={RANDOM}=b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        found = [texts[r.doc_id][s.start : s.end].rstrip("=") for s in r.spans if s.kind == 3]
+        assert len(found) == 1 and found[0] in (RANDOM, "ab-" + RANDOM), texts[r.doc_id]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 1200
     rows = [(0, "http://a/", "x" * 999), (1, "http://b/", "x" * 999), (2, "http://c/", big), (5, None, big), (9, "http://d/\r\nX: 1", big), (3, "http://e/", None), (4, "http://f/", "WARC/1.1\r\n\r\n" * 100), (None, "http://g/", big), (2, "http://c/", big)]
