@@ -29,25 +29,61 @@ def union(n, near):
     return [root(i) for i in range(n)]
 
 
-def test_components(docs, rows):
-    prints = [plain_fingerprint(t) for _, t, _ in rows]
-    ids = [-(2**63) if i is None else i for i, _, _ in rows]
-    roots = union(len(rows), lambda i, j: ids[i] == ids[j] or (prints[i] ^ prints[j]).bit_count() <= 4)
+def plain_components(ids, prints):
+    """Rows link by near fingerprints or an equal doc_id; null ids are no ids."""
+    roots = union(len(ids), lambda i, j: ids[i] is not None and ids[i] == ids[j] or (prints[i] ^ prints[j]).bit_count() <= 4)
     least = {}
     for i, r in zip(ids, roots):
-        least[r] = min(least.get(r, i), i)
-    real = lambda i: None if i == -(2**63) else i
-    expected = sorted(((real(i), f"{p:016x}", real(least[r])) for i, p, r in zip(ids, prints, roots)), key=repr)
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    return sorted(((i, f"{p:016x}", least.get(r)) for i, p, r in zip(ids, prints, roots)), key=repr)
+
+
+def test_components(docs, rows):
+    prints = [plain_fingerprint(t) for _, t, _ in rows]
+    expected = plain_components([i for i, _, _ in rows], prints)
     for hot in (128, 2):
         got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.components(docs, hot=hot).collect()), key=repr)
         assert got == expected
 
 
+def test_repeated_and_null_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "uno dos tres cuatro cinco")
+    rows = [(3, a), (7, a), (7, b), (None, b), (None, c), (None, c), (None, "x y z"), (9, None), (None, ""), (8, "p q r s t"), (8, "u v w x y"), (8, "k l m n o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = plain_components([i for i, _ in rows], [plain_fingerprint(t) for _, t in rows])
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.components(df).collect()), key=repr) == expected
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=repr)
+    assert len(kept) == 5 and (3, a) in kept and (None, c) in kept and (None, "x y z") in kept and (9, None) in kept and sum(i == 8 for i, _ in kept) == 1
+
+
+@pytest.mark.parametrize("hot", [2, 16, 128])
+def test_links_of_crowded_keys(spark, hot):
+    rng = random.Random(hot)
+    prints = set()
+    for _ in range(6):  # crowds around a centre, and chains that leave it
+        centre = rng.getrandbits(64)
+        for _ in range(60):
+            x = centre
+            for b in rng.sample(range(64), rng.randrange(9)):
+                x ^= 1 << b
+            prints.add(x)
+    prints = sorted(prints | {rng.getrandbits(64) for _ in range(100)} | {rng.getrandbits(10) | 5 << 40 for _ in range(100)})
+    signed = [x - 2**64 if x >= 2**63 else x for x in prints]
+    roots = union(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    pairs = simhash.link_pairs(spark.createDataFrame([(x,) for x in signed], "fp long"), hot=hot)
+    group = {r.node: r.component for r in connected_components(pairs).collect()}
+    least = {}
+    for x, r in zip(signed, roots):
+        least[r] = min(least.get(r, x), x)
+    assert {x: group.get(x, x) for x in signed} == {x: least[r] for x, r in zip(signed, roots)}
+
+
 def test_keep_one_returns_whole_rows(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    groups = {r.component_id for r in simhash.components(docs).collect()}
-    assert {r.doc_id for r in kept.collect()} == groups
+    got = [r.doc_id for r in kept.collect()]
+    assert len(got) == len(set(got)) and set(got) == {r.component_id for r in simhash.components(docs).collect()}
 
 
 @pytest.mark.parametrize("local", [0, 10**6])
