@@ -49,7 +49,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text under private names, with a text hash that tells rows sharing a doc_id apart."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.shiftright(F.xxhash64(F.col("text")), 48).cast("int").alias("_h"),
+        F.xxhash64(F.col("text")).alias("_h"),
         F.coalesce(F.col("text"), F.lit("")).alias("_text"),
     )
 

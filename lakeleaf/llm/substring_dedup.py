@@ -46,7 +46,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def split_words(window: int, gram: int):
-    def split(data, offsets):
+    def split(data, offsets, rank):
         starts, ends, doc = word_bounds(data, offsets)
         n = len(starts) - window + 1
         if n <= 0:
@@ -62,6 +62,7 @@ def split_words(window: int, gram: int):
         prefix = prefix_hashes(flat)
         m = len(starts) - gram + 1
         grams = (mixed(range_hashes(prefix, a[:m], z[gram - 1 :])) >> np.uint64(32)).astype(np.uint32)
+        grams = grams if rank is None else rank(grams)
         least = sliding(grams, window - gram + 1)
         valid = doc[:n] == doc[window - 1 :]
         first = valid.copy()
@@ -108,7 +109,7 @@ def judge_words(window: int):
                     out += [(doc[i], h[i], pos[i] + w, pos[i] + w + window) for w in flags[t]]
             if out:
                 x = np.array(out, np.int64)
-                yield [x[:, 0], x[:, 1].astype(np.int32), x[:, 2], x[:, 3]]
+                yield [x[:, 0], x[:, 1], x[:, 2], x[:, 3]]
 
     return judge
 

@@ -1,14 +1,17 @@
 """Substring dedup on bytes: bucket-pointer refinement of suffixes.
 
 Windows of ``window`` bytes reach the bucket of their minimiser (the smallest hash of ``gram`` bytes in them)
-inside packed runs. There suffixes start in buckets of equal q-grams; buckets of several suffixes are refined
-by sorting on (own bucket, bucket of the suffix ``depth`` later), which doubles the compared depth. The new
-bucket numbers are written back and used by the next round, until ``window`` bytes are compared. Only suffixes
-whose bucket still has company are sorted again.
+inside packed runs. There all suffixes are first sorted into buckets of equal q-grams; a suffix's pointer is its
+bucket's place in the order. Buckets of several suffixes are refined by sorting them on the pointers of the
+suffixes that begin where their common bytes end, which adds the later bucket's depth to theirs. Buckets are taken
+in order, a run at a time, and each run is refined until it is done before the next is begun; new pointers are
+written at once, so what follows reuses them and gets deeper in one step. A bucket is done when it has one suffix or
+``window`` common bytes. Neighbours in the order that share a window, compared by hash and then byte by byte, are its occurrences.
 
 A byte is removed if a ``window``-byte string covers it that also starts anywhere else, in the same document
 or another. Defined cases: null or empty text has no byte; texts shorter than the window lose nothing;
-repeated rows are occurrences like any other. What is left may not be valid UTF-8, so it is bytes.
+repeated rows, also those of null or repeated doc_id, are occurrences like any other; an empty table gives no row.
+What is left may not be valid UTF-8, so it is bytes.
 """
 
 from __future__ import annotations
@@ -22,17 +25,18 @@ from pyspark.sql import DataFrame
 from lakeleaf.llm.common import real_id
 from lakeleaf.llm.superstrings import covered, mixed, powers, prefix_hashes, repeated_spans, sliding, unpack_strings, with_spans
 
-Q = 8
+Q = 7
 
 
 def split_bytes(window: int, gram: int):
     span = window - gram + 1
 
-    def split(data, offsets):
+    def split(data, offsets, rank):
         if len(data) < window:
             return
         prefix = prefix_hashes(data)
         h = (mixed((prefix[gram:] - prefix[:-gram]) * powers(len(prefix))[1][: len(data) - gram + 1]) >> np.uint64(32)).astype(np.uint32)
+        h = h if rank is None else rank(h)
         least = sliding(h, span)
         end = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
         valid = np.arange(window, window + len(least)) <= end
@@ -62,50 +66,63 @@ def split_bytes(window: int, gram: int):
     return split
 
 
-def repeated_starts(texts: list[bytes], window: int) -> list[np.ndarray]:
+def repeated_starts(texts: list[bytes], window: int, runs: int = 4) -> list[np.ndarray]:
     """For each string the starts of ``window``-byte strings that occur more than once in all of them, by bucket-pointer refinement."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lengths)
-    data = np.frombuffer(b"".join(texts) + bytes(Q), np.uint8)
-    n = int(ends[-1])
-    left = np.repeat(ends, lengths) - np.arange(n)  # bytes from here to the string's end
+    n, q = int(ends[-1]), min(Q, window)
+    data = np.frombuffer(b"".join(texts) + bytes(q), np.uint8)
+    left = (np.repeat(ends, lengths) - np.arange(n)).astype(np.int32)  # bytes from here to the string's end
     grams = np.zeros(n, np.uint64)
-    for i in range(Q):
-        grams |= data[i : i + n].astype(np.uint64) << np.uint64(8 * (Q - 1 - i))
-    bucket = np.full(n, -1, np.int64)
-    live = np.flatnonzero(left >= Q)
-    order = live[np.argsort(grams[live])]
-    new = np.concatenate(([True], grams[order][1:] != grams[order][:-1]))
-    live, bucket = _number(order, new, bucket)
-    depth = min(Q, window)
-    while depth < window:
-        step = min(depth, window - depth)
-        deeper = depth + step
-        live = live[left[live] >= deeper]
-        # ids by (own bucket, bucket of the later suffix); both were fixed by earlier rounds
-        own, later = bucket[live], bucket[live + step]
-        order = np.argsort(own * n + later)
-        own, later, live = own[order], later[order], live[order]
-        new = np.concatenate(([True], (own[1:] != own[:-1]) | (later[1:] != later[:-1]))) if len(live) else np.zeros(0, bool)
-        # suffixes too short for this depth keep their bucket: no window reads them at this depth
-        live, bucket = _number(live, new, bucket)
-        depth = deeper
-    starts = np.sort(live[left[live] >= window])
+    for i in range(q):  # nine bits a byte; zero stands for the end of a string, which is like any other string's
+        grams |= np.where(left > i, data[i : i + n].astype(np.uint64) + np.uint64(1), np.uint64(0)) << np.uint64(9 * (q - 1 - i))
+    order = np.argsort(grams)
+    grams = grams[order]
+    new = np.concatenate(([True], grams[1:] != grams[:-1]))
+    order = order.astype(np.int32)
+    del grams
+    pointer, depth = np.empty(n, np.int32), np.full(n, q, np.int32)
+    heads = np.flatnonzero(new)
+    pointer[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+    size = np.diff(np.append(heads, n))
+    crowded = np.flatnonzero(np.repeat(size > 1, size)) if q < window else np.zeros(0, np.int64)
+    cuts = np.searchsorted(crowded, [crowded[k * len(crowded) // runs] for k in range(1, runs)]) if len(crowded) else np.zeros(0, np.int64)
+    # a run begins where a bucket does
+    cuts = [int(np.searchsorted(crowded, pointer[order[crowded[c]]])) for c in cuts]
+    for at in np.split(crowded, cuts):
+        while len(at):
+            s = order[at]
+            own, d = pointer[s].astype(np.int64), depth[s]
+            inside = left[s] > d
+            there = np.where(inside, s + d, 0)
+            later = np.where(inside, pointer[there], -1)
+            deeper = np.minimum(d + np.where(inside, depth[there], window), window)
+            sort = np.argsort(own * (n + 1) + later + 1)
+            s, own, later, deeper = s[sort], own[sort], later[sort], deeper[sort]
+            order[at] = s
+            new = np.concatenate(([True], (own[1:] != own[:-1]) | (later[1:] != later[:-1])))
+            heads = np.flatnonzero(new)
+            size = np.diff(np.append(heads, len(s)))
+            pointer[s] = np.repeat(at[heads], size)
+            depth[s] = deeper
+            at = at[np.repeat(size > 1, size) & (deeper < window)]
+    whole = order[left[order] >= window]
+    if not len(whole):
+        return [np.zeros(0, np.int64)] * len(texts)
+    same = pointer[whole[1:]] == pointer[whole[:-1]]
+    # runs that were split deeper than the window
+    prefix = prefix_hashes(data[:n])
+    h = (prefix[whole + window] - prefix[whole]) * powers(n + 1)[1][whole]
+    close = np.flatnonzero(~same & (h[1:] == h[:-1]))
+    for lo in range(0, len(close), 4096):
+        k = close[lo : lo + 4096]
+        one, two = (data[whole[x][:, None] + np.arange(window)] for x in (k, k + 1))
+        same[k] = (one == two).all(1)
+    starts = np.sort(whole[np.append(same, False) | np.append(False, same)]).astype(np.int64)
     cut = np.searchsorted(starts, ends)
     return [starts[a:b] - (e - m) for a, b, e, m in zip(np.concatenate(([0], cut[:-1])), cut, ends, lengths)]
 
 
-def _number(order: np.ndarray, new: np.ndarray, bucket: np.ndarray):
-    """Give each group of ``order`` a bucket number; returns the suffixes whose bucket has company."""
-    if not len(order):
-        return order, bucket
-    heads = np.flatnonzero(new)
-    bucket = bucket.copy()
-    bucket[order] = order[heads][np.cumsum(new) - 1]  # a member's place: distinct over all rounds of one depth
-    size = np.diff(np.append(heads, len(order)))
-    return order[np.repeat(size > 1, size)], bucket
-
-
 def judge_bytes(window: int):
     def judge(blobs):
         count: dict[bytes, int] = {}
@@ -126,7 +143,7 @@ def judge_bytes(window: int):
         lo = 0
         while lo < len(some):  # a key's strings stay together
             hi, size = lo, 0
-            while hi < len(some) and (size < 4 << 20 or key_of[some[hi]] == key_of[some[hi - 1]]):
+            while hi < len(some) and (size < 2 << 20 or key_of[some[hi]] == key_of[some[hi - 1]]):
                 size += len(some[hi])
                 hi += 1
             starts.update(zip(some[lo:hi], repeated_starts(some[lo:hi], window)))
@@ -144,7 +161,7 @@ def judge_bytes(window: int):
                         out.append((doc[i], h[i], pos[i] + a, pos[i] + z + window))
             if out:
                 x = np.array(out, np.int64)
-                yield [x[:, 0], x[:, 1].astype(np.int32), x[:, 2], x[:, 3]]
+                yield [x[:, 0], x[:, 1], x[:, 2], x[:, 3]]
 
     return judge
 

@@ -3,6 +3,12 @@
 Every occurrence of a window has the same minimiser, so all of them meet in one bucket, whatever surrounds
 them. Within a map task equal strings travel once; only what cannot be decided there goes on. Strings of a
 bucket are packed and compressed together, a few megabytes at a time.
+
+Grams that would draw more than a set share of all text to one bucket rank after all others as minimisers, so a
+window takes one only if it has no rarer gram. They are found on a sample by hash of the rows; which they are
+decides where windows meet, never what is found, because all tasks rank alike.
+
+A row is its doc_id and a 64-bit hash of its text; rows equal in both lose the same parts.
 """
 
 from __future__ import annotations
@@ -16,12 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeleaf.llm.common import byte_slices, keyed, shuffle_partitions
+from lakeleaf.llm.common import byte_slices, dropped, keyed, shuffle_partitions, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 CHUNK = 1 << 20
 FLUSH = 32 << 20
+#: Bytes that a gathered span counts for.
+SPAN = 100
 OUT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
 #: Kinds of blobs: strings to be judged, and spans that are decided already.
 STRINGS, SPANS = 0, 1
@@ -85,15 +93,20 @@ class Packer:
         elif not self.keep_all_of_least:
             got[1] |= 2
             self.spans.append((doc, h, pos, pos + units))
+            self.size += SPAN
         elif doc == got[3]:
             if h == got[4]:
                 got[5].append(pos)
+                self.size += SPAN
             else:  # another row with the same doc_id
+                self.size += 2 * SPAN
                 self.strings.setdefault((text, h), [key, mark, units, doc, h, []])[5].append(pos)
         elif doc > got[3]:
             self.spans.append((doc, h, pos, pos + units))
+            self.size += SPAN
         else:
             self.spans += [(got[3], got[4], p, p + units) for p in got[5]]
+            self.size += SPAN * len(got[5])
             got[3:] = [doc, h, [pos]]
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -112,7 +125,7 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 256]), OUT.types)], schema=OUT)
 
 
-COLUMNS = (np.uint16, np.uint8, np.int32, np.int64, np.int16, np.int64, np.int32)
+COLUMNS = (np.uint16, np.uint8, np.int32, np.int64, np.int64, np.int64, np.int32)
 
 
 def pack_strings(entries: list) -> bytes:
@@ -121,7 +134,7 @@ def pack_strings(entries: list) -> bytes:
     cols = [np.array(c, t) for c, t in zip((*cols, [len(x) for x in texts]), COLUMNS)]
     cols[3] = np.diff(cols[3], prepend=0)
     planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(texts), -1).T).tobytes() for c in cols]
-    return zstandard.ZstdCompressor(level=6).compress(b"".join((np.array([len(texts)], np.int64).tobytes(), *planes, *texts)))
+    return zstandard.ZstdCompressor(level=9).compress(b"".join((np.array([len(texts)], np.int64).tobytes(), *planes, *texts)))
 
 
 def unpack_strings(blob: bytes):
@@ -139,7 +152,7 @@ def unpack_strings(blob: bytes):
 
 def pack_spans(spans: list) -> bytes:
     doc, h, start, end = zip(*spans)
-    parts = [np.array([len(spans)], np.int64), np.array(doc, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(h, np.int32)]
+    parts = [np.array([len(spans)], np.int64), np.array(doc, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(h, np.int64)]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in parts))
 
 
@@ -147,19 +160,64 @@ def unpack_spans(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     doc, start, end = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * k) for k in range(3))
-    return [doc, np.frombuffer(raw, np.int32, n, 8 + 24 * n), start, end]
+    return [doc, np.frombuffer(raw, np.int64, n, 8 + 24 * n), start, end]
+
+
+SPAN_SCHEMA = "_id long, _h long, start long, end long"
+
+
+class Ranking:
+    """Rank of grams as minimisers: their hash, the common ones after all others."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = np.sort(common.astype(np.uint32))
 
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        out = grams >> np.uint32(1)
+        if len(self.common):
+            at = np.searchsorted(self.common, grams)
+            out |= (self.common[np.minimum(at, len(self.common) - 1)] == grams).astype(np.uint32) << np.uint32(31)
+        return out
+
+
+def ranking(docs: DataFrame, split: Callable, target: int = 32 << 20) -> Ranking:
+    """Finds the grams that more than a share of the sampled text has as minimiser; the share is that of ``target`` bytes, from ``2**-20`` to
+    ``2**-10``, which also bounds how many grams there are. The sample is of ``4096 / share`` bytes, about."""
+    rows = keyed(docs)
+    total = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first().n or 0
+    share = min(max(target / max(total, 1), 2**-20), 2**-10)
+    every = max(1, int(total * share / 4096))
+
+    def count(batches):
+        for b in batches:
+            data, at = byte_slices(b.column(0))
+            lo = 0
+            while lo < b.num_rows:
+                hi = int(max(np.searchsorted(at, at[lo] + CHUNK, "right") - 1, lo + 1))
+                found = [(k, len(t)) for _, _, _, k, t, _ in split(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], None)]
+                if found:
+                    key, size = np.array(found, np.int64).T
+                    some, where = np.unique(key, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(where, size).astype(np.int64))], names=["gram", "n"])
+                lo = hi
 
-SPAN_SCHEMA = "_id long, _h int, start long, end long"
+    sample = rows.where(F.pmod(F.xxhash64("_id", "_h"), F.lit(every)) == 0).select("_text")
+    sums = sample.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = written(sums, "grams")
+    least = share * (sums.agg(F.sum("n").alias("n")).first().n or 0)
+    got = sums.where(F.col("n") > max(least, 4096)).select("gram").toArrow()["gram"].to_numpy()  # at most 1 / share
+    dropped(sums)
+    return Ranking(got)
 
 
 def repeated_spans(docs: DataFrame, split: Callable, judge: Callable, keep_all_of_least: bool) -> DataFrame:
     """(_id, _h, start, end): spans of repeated windows.
 
-    split(data, offsets) yields (document number, start, units, key, string, mark); judge(blobs) yields span
-    arrays for the packed strings of one bucket.
+    split(data, offsets, rank) yields (document number, start, units, key, string, mark), key being the hash of the
+    minimiser (under ``rank`` its rank); judge(blobs) yields span arrays for the packed strings of one bucket.
     """
     buckets = 16 * shuffle_partitions(docs.sparkSession)
+    rank = ranking(docs, split)
 
     def cut(batches):
         packer = Packer(buckets, keep_all_of_least)
@@ -169,7 +227,7 @@ def repeated_spans(docs: DataFrame, split: Callable, judge: Callable, keep_all_o
             lo = 0
             while lo < len(ids):
                 hi = int(max(np.searchsorted(at, at[lo] + CHUNK, "right") - 1, lo + 1))
-                for i, pos, units, key, text, mark in split(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]):
+                for i, pos, units, key, text, mark in split(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], rank):
                     packer.add(key, text, ids[lo + i], hs[lo + i], pos, units, mark)
                 lo = hi
                 if packer.size > FLUSH:

@@ -4,11 +4,34 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lakeleaf.llm import substring_dedup, suffix_dedup
+from lakeleaf.llm import substring_dedup, suffix_dedup, superstrings
 from lakeleaf.llm.superstrings import covered
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """Thousands of rows of null or repeated doc_id, most of which hold a passage or a copy, and frequent words."""
+    rng = np.random.default_rng(9)
+    words = ["of", "the", "and", "x"] + ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    passages = [prose(60) for _ in range(3)]
+    out = []
+    for k in range(2600):
+        text = f"{prose(int(rng.integers(1, 20)))} {passages[k % 3]} {prose(5)}" if k % 4 else prose(int(rng.integers(0, 40)))
+        out.append((None if k < 2000 else k % 3 if k < 2400 else k, text, "en"))
+    out += [(None, out[1][1], "en")] * 300 + [(None, None, None), (1, "", "en")]
+    return out, spark.createDataFrame(out, "doc_id long, text string, lang string").repartition(6)
+
+
 def test_words(docs, rows):
+    check_words(docs, rows)
+
+
+def test_words_of_null_and_repeated_ids(many):
+    check_words(many[1], many[0])
+
+
+def check_words(docs, rows):
     low = lambda i: -1 if i is None else i  # noqa: E731  null sorts first
     least = {}
     for i, t, _ in rows:
@@ -30,6 +53,23 @@ def test_words(docs, rows):
 
 
 def test_bytes(docs, rows):
+    check_bytes(docs, rows)
+
+
+def test_bytes_of_null_and_repeated_ids(many):
+    check_bytes(many[1], many[0])
+
+
+def test_frequent_grams_rank_last(many):
+    docs = many[1]
+    split = substring_dedup.split_words(13, 2)
+    rank = superstrings.ranking(docs, split, 0)
+    assert 0 < len(rank.common) <= 1 << 20
+    grams = np.array([*rank.common[:3], 5, 2**32 - 1], np.uint32)
+    assert (rank(grams)[:3] >= 1 << 31).all() and (rank(grams)[3:] < 1 << 31).all()
+
+
+def check_bytes(docs, rows):
     seen = Counter(b[k : k + 200] for _, t, _ in rows for b in [(t or "").encode()] for k in range(len(b) - 199))
     expected = Counter()
     for i, t, _ in rows:
@@ -59,6 +99,16 @@ def test_refinement_depths(window):
         assert starts.tolist() == [k for k in range(len(t) - window + 1) if seen[t[k : k + window]] > 1]
 
 
+@pytest.mark.parametrize("runs", [1, 3, 8])
+def test_pointers_are_reused_across_runs(runs):
+    rng = np.random.default_rng(runs)
+    part = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (150, 230, 400)]
+    texts = [part[0] + part[1], part[1] + part[0], part[2][:250] + part[1] + b"\0", b"\0" * 230, part[2], part[2] + b"z", b"ab"]
+    seen = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    for t, starts in zip(texts, suffix_dedup.repeated_starts(texts, 200, runs)):
+        assert starts.tolist() == [k for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1]
+
+
 def test_empty(empty):
     assert substring_dedup.kept_words(empty).collect() == [] == suffix_dedup.kept_bytes(empty).collect()
 
