@@ -45,6 +45,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``position``, its gapless rank from 0 in ``order`` (which must tell all rows apart): one range partitioning, written with each row's place in its part; parts' sizes give the offsets."""
+    n = shuffle_partitions(df.sparkSession)
+    inner = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition
+    parts = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), inner.alias("_place")), "ranked")
+    sizes = sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one row for each part
+    offsets, at = [], 0
+    for part, size in sizes:
+        offsets.append((part, at))
+        at += size
+    table = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    return parts.join(F.broadcast(table), "_part").select(*df.columns, (F.col("_before") + F.col("_place")).alias("position"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text under private names, with a text hash that tells rows sharing a doc_id apart."""
     return docs.select(

@@ -4,23 +4,27 @@ Groups (equal texts) sorted by size enter the bin whose remaining capacity is th
 them, found in a balanced tree of remaining capacities. The capacity is the smallest for which all groups fit
 the given number of shards.
 
-Groups above ``total / (shards * fine)`` are placed one by one; there are at most ``shards * fine`` of them.
-Smaller groups are first gathered by group hash into at most ``shards * fine`` crumbs, which are packed like
-groups, so the driver handles at most ``2 * shards * fine`` sizes whatever the input. A group larger than an
-even share takes a shard of its own size; nothing is split.
+Groups of one size are interchangeable, so the driver packs a histogram: how many groups there are of each size. It
+has at most ``sqrt(2 * total)`` entries, since distinct sizes sum to no more than the total (and each takes up at least
+its value), whatever the number of groups. While one bin stays the tightest, it takes as many groups of a size as it
+holds in one step. The result is a list of runs: in the order of size and group, which shard takes the groups from a
+place on. Every group finds its place in that order by a range-partitioned rank and its shard by its place.
+
+A group larger than an even share takes a shard of its own size; nothing is split.
 
 Defined cases: null text has no bytes and forms one group with empty text; repeated rows and null doc_ids are
-rows like any other; an empty table gives no rows. Slots are numbered from 0 in each shard in the order of
-(slice of the row's hash, doc_id): counts of slices, a fixed number for each shard, give the offsets, so no
-shard is sorted in one task.
+rows like any other; an empty table gives no rows. Slots are numbered from 0 in each shard by one rank over all rows
+in the order of shard and row hash, range-partitioned, so neither a shard nor rows of one doc_id are gathered in one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeleaf.llm.common import shuffle_partitions, written
+from lakeleaf.llm.common import dropped, ranked, written
 
 
 class CapacityTree:
@@ -100,34 +104,46 @@ class CapacityTree:
         return self._fixed(n)
 
 
-def best_fit_decreasing(sizes: list[int], bins: int, capacity: int) -> list[int] | None:
-    """The bin of each size (given in descending order), or None if they do not fit."""
+def best_fit_decreasing(sizes: list[tuple[int, int]], bins: int, capacity: int) -> list[tuple[int, int]] | None:
+    """Runs (groups, bin) in the order of ``sizes``, which are (size, groups) in descending order; None if they do not fit."""
     tree = CapacityTree()
     for number in range(bins):
         tree.add(capacity, number)
-    out = []
-    for size in sizes:
-        got = tree.take(size)
-        if got is None:
-            return None
-        tree.add(got[0] - size, got[1])
-        out.append(got[1])
+    out: list[tuple[int, int]] = []
+    for size, count in sizes:
+        while count:
+            got = tree.take(size)
+            if got is None:
+                return None
+            # filled further, the tightest bin stays the tightest
+            some = min(count, got[0] // size)
+            tree.add(got[0] - some * size, got[1])
+            count -= some
+            if out and out[-1][1] == got[1]:
+                out[-1] = (out[-1][0] + some, got[1])
+            else:
+                out.append((some, got[1]))
     return out
 
 
-def pack(sizes: list[int], bins: int) -> list[int]:
-    """Bins of the sizes (descending) under the least capacity that best fit decreasing can meet.
+def pack(sizes: list[tuple[int, int]], bins: int) -> list[tuple[int, int]]:
+    """Runs (groups, bin) of the (size, groups), descending, under the least capacity that best fit decreasing can meet.
 
     Any size above an even share of what is left gets a bin to itself first, so that the capacity of the rest is not raised by it.
     """
-    alone, total = 0, sum(sizes)
-    while alone < min(len(sizes), bins - 1) and sizes[alone] > total / (bins - alone):
-        total -= sizes[alone]
+    sizes, alone, total = list(sizes), 0, sum(s * n for s, n in sizes)
+    first = 0
+    while first < len(sizes) and alone < bins - 1 and sizes[first][0] > total / (bins - alone):
+        size, count = sizes[first]
+        total -= size
         alone += 1
-    rest, free = sizes[alone:], bins - alone
+        sizes[first] = (size, count - 1)
+        first += count == 1
+    rest, free = sizes[first:], bins - alone
+    own = [(1, b) for b in range(alone)]
     if not rest:
-        return list(range(alone))
-    lo = max(rest[0], -(-sum(rest) // free))
+        return own
+    lo = max(rest[0][0], -(-total // free))
     hi, got = lo, best_fit_decreasing(rest, free, lo)
     step = max(1, lo // 1000)
     while got is None:
@@ -139,42 +155,39 @@ def pack(sizes: list[int], bins: int) -> list[int]:
             lo = mid + 1
         else:
             hi, got = mid, x
-    return list(range(alone)) + [alone + b for b in got]
+    return own + [(n, alone + b) for n, b in got]
 
 
-def assign(docs: DataFrame, shards: int = 24, overhead: int = 8, fine: int = 256) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 24, overhead: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row; texts stay where they are."""
+    if overhead < 1:
+        raise ValueError("sizes must be positive")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = written(docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("_group")), "sizes")
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    large = F.col("size") > max(1, total // (shards * fine))
-    crumb = F.pmod(F.xxhash64("_group"), F.lit(shards * fine)).cast("int")
-    tagged = groups.select("_group", "size", F.when(large, F.col("_group")).alias("_alone"), F.when(~large, crumb).alias("_crumb"))
-    # at most 2 * shards * fine rows
-    sums = tagged.groupBy("_alone", "_crumb").agg(F.sum("size").alias("bytes")).collect()
-    items = sorted(((r["bytes"], r["_alone"] or "", -1 if r["_crumb"] is None else r["_crumb"]) for r in sums), key=lambda x: (-x[0], x[1], x[2]))
-    bins = pack([x[0] for x in items], shards)
-    spark = docs.sparkSession
-    place = spark.createDataFrame([(x[1] or None, None if x[2] < 0 else x[2], b) for x, b in zip(items, bins)], "_alone string, _crumb int, shard int")
-    alone, crumbs = place.where("_alone is not null").select(F.col("_alone").alias("_group"), F.col("shard").alias("_own")), place.where("_crumb is not null").select("_crumb", F.col("shard").alias("_shared"))
-    # both sides are bounded by shards * fine rows, so they are sent whole
-    placed = rows.withColumn("_crumb", crumb).join(F.broadcast(alone), "_group", "left").join(F.broadcast(crumbs), "_crumb", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("_own", "_shared").alias("shard"))
-    return numbered(placed, "shard", "doc_id", slices=max(1, shuffle_partitions(spark) // shards * 4 + 1))
-
-
-def numbered(rows: DataFrame, by: str, order: str, slices: int) -> DataFrame:
-    """Adds ``slot``, gapless from 0 within each value of ``by`` (few values): rank in a slice plus the rows of the slices before."""
-    sliced = written(rows.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(slices)).cast("int")), "slices")
-    counts = sliced.groupBy(by, "_slice").agg(F.count("*").alias("_n")).collect()  # values of ``by`` times slices
-    offsets, running = [], {}
-    for r in sorted(counts, key=lambda r: (r[by], r["_slice"])):
-        offsets.append((r[by], r["_slice"], running.get(r[by], 0)))
-        running[r[by]] = running.get(r[by], 0) + r["_n"]
-    table = rows.sparkSession.createDataFrame(offsets, f"{by} int, _slice int, _before long")
-    rank = F.row_number().over(Window.partitionBy(by, "_slice").orderBy(*[c for c in (order, *[x for x in rows.columns if x not in (by, order)])]))
-    return sliced.withColumn("_rank", rank).join(F.broadcast(table), [by, "_slice"]).select(*rows.columns, (F.col("_before") + F.col("_rank") - 1).alias("slot"))
+    own = F.monotonically_increasing_id().alias("_row")  # kept by the written table, so that equal rows differ
+    rows = written(docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_group"), own), "sizes")
+    groups = rows.groupBy("_group").agg(F.sum("size").alias("bytes"))
+    places = ranked(groups, F.desc("bytes"), F.asc("_group"))
+    histogram = sorted(((r.bytes, r.n) for r in places.groupBy("bytes").agg(F.count("*").alias("n")).collect()), reverse=True)
+    runs = pack(histogram, shards)
+    ends, bins = np.cumsum([n for n, _ in runs] or [0]), np.array([b for _, b in runs] or [0], np.int32)
+
+    def place(batches):
+        for b in batches:
+            at = np.searchsorted(ends, b.column(1).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bins[at])], names=["_group", "shard"])
+
+    where = places.select("_group", "position").mapInArrow(place, "_group binary, shard int")
+    placed = written(rows.join(where, "_group").select("doc_id", "size", "text_crc32", "shard", "_row"), "placed")
+    dropped(rows)
+    return numbered(placed, "shard", F.xxhash64("doc_id", "text_crc32", "_row"), "_row").drop("_row")
+
+
+def numbered(rows: DataFrame, by: str, *order) -> DataFrame:
+    """Adds ``slot``, gapless from 0 within each value of ``by`` (few values): the rank over all rows less that of the value's first row."""
+    out = ranked(rows, F.asc(by), *order)
+    firsts = {r[0]: r[1] for r in out.groupBy(by).agg(F.min("position")).collect()}  # one row for each value
+    before = F.element_at(F.create_map(*[F.lit(x) for kv in firsts.items() for x in kv]), F.col(by)) if firsts else F.lit(0)
+    return out.withColumn("slot", F.col("position") - before).drop("position")
 
 
 def shard_table(docs: DataFrame, path: str, **options) -> None:

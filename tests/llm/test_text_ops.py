@@ -91,16 +91,61 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.assign(empty).collect() == []
 
 
+def plain_best_fit(sizes, bins, capacity):
+    free, out = [capacity] * bins, []
+    for s in sizes:
+        fits = [(r, b) for b, r in enumerate(free) if r >= s]
+        if not fits:
+            return None
+        b = min(fits)[1]
+        free[b] -= s
+        out.append(b)
+    return out
+
+
+def spread(runs):
+    return [b for n, b in runs for _ in range(n)]
+
+
 def test_best_fit_decreasing():
-    assert sharding.best_fit_decreasing([6, 5, 4, 3, 2], 2, 10) == [0, 1, 0, 1, 1]
-    assert sharding.best_fit_decreasing([6, 6], 1, 10) is None
+    one = lambda sizes: sorted(Counter(sizes).items(), reverse=True)
+    assert spread(sharding.best_fit_decreasing(one([6, 5, 4, 3, 2]), 2, 10)) == [0, 1, 0, 1, 1]
+    assert sharding.best_fit_decreasing(one([6, 6]), 1, 10) is None
     rng = np.random.default_rng(2)
-    sizes = sorted(rng.integers(1, 1000, 500).tolist(), reverse=True)
-    bins = Counter()
-    for s, b in zip(sizes, sharding.pack(sizes, 7)):
-        bins[b] += s
-    assert max(bins.values()) <= 1.01 * sum(sizes) / 7
-    assert sharding.pack([10**6, 5, 5, 4, 4], 3) in ([0, 1, 2, 1, 2], [0, 1, 2, 2, 1])
+    for most, bins in ((1000, 7), (12, 5), (40, 24)):
+        sizes = sorted(rng.integers(1, most, 500).tolist(), reverse=True)
+        for capacity in (sum(sizes) // bins, sum(sizes) // bins + 3, sum(sizes) // bins + most):
+            got = sharding.best_fit_decreasing(one(sizes), bins, capacity)
+            assert (None if got is None else spread(got)) == plain_best_fit(sizes, bins, capacity)
+        load = Counter()
+        for s, b in zip(sizes, spread(sharding.pack(one(sizes), bins)), strict=True):
+            load[b] += s
+        assert max(load.values()) <= 1.01 * sum(sizes) / bins + 1
+    assert spread(sharding.pack(one([10**6, 5, 5, 4, 4]), 3)) in ([0, 1, 2, 1, 2], [0, 1, 2, 2, 1])
+    assert spread(sharding.pack(one([9, 9, 9]), 2)) in ([0, 1, 1], [0, 0, 1])
+
+
+def test_shards_are_nearly_equal_with_hot_groups_and_ids(spark):
+    """Whole assignment against the plain form: equal sizes are interchangeable, so loads must be equal."""
+    rng = np.random.default_rng(4)
+    texts = ["hot " * 9] * 40 + ["x" * int(n) for n in rng.integers(0, 60, 500)] + [f"{k:04d}" for k in range(700)]
+    rows = [(None if k % 3 else int(k % 50), t, 1, "s") for k, t in enumerate(texts)] + [(None, None, 1, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, _group string").repartition(5)
+    out = sharding.assign(df, shards=6).collect()
+    slots, load, sizes = defaultdict(list), Counter(), Counter()
+    for r in out:
+        slots[r.shard].append(r.slot)
+        load[r.shard] += r["size"]
+    assert len(out) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    for _, t, *_ in rows:
+        sizes[t or ""] += len(t or "") + 8
+    groups = sorted(sizes.values(), reverse=True)
+    capacity = next(c for c in range(-(-sum(groups) // 6), sum(groups)) if plain_best_fit(groups, 6, c))
+    plain = Counter()
+    for s, b in zip(groups, plain_best_fit(groups, 6, capacity)):
+        plain[b] += s
+    assert sorted(load.values()) == sorted(plain.values())
+    assert max(load.values()) - min(load.values()) <= 0.01 * sum(groups) / 6 + 8
 
 
 def test_language_id(docs, rows, empty):
