@@ -3,8 +3,11 @@
 A decision list is an ordered list of conjunctions of thresholds, each naming documents to drop. It is learned
 from labelled statistics by sequential covering: a rule is grown on two thirds of the rows by adding the
 threshold of the greatest information gain, pruned on the other third by cutting conditions from its end while
-precision does not fall, and kept if it is precise enough there; the rows that it covers are set aside and the
-next rule is grown. The list becomes one CASE expression.
+precision does not fall, and kept if it is precise enough on both parts; the rows that it covers are set aside and the
+next rule is grown. A rule that isn't precise enough is dropped and another is grown without its conditions. The list becomes one CASE expression.
+
+A window of three words is repeated if its sorted hash meets the same one; where equal hashes stand for different words (a text
+in which that happens is judged again by the words themselves), so counts are exact.
 
 The fit uses at most ``sample`` labelled rows (default 20000, those with the smallest hash of doc_id);
 statistics cover all rows and whole texts. Statistics are computed once and written to the shared folder.
@@ -35,7 +38,7 @@ def _dropped(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def statistics(docs: DataFrame, keep: list[str] | None = None, window_hash=F.xxhash64) -> DataFrame:
     """``keep`` columns (default doc_id) with the counts of every whole text."""
     keep = keep or ["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -44,15 +47,22 @@ def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     rows = docs.select(*keep, words.alias("_w"), F.when(text.contains("\n"), lines).otherwise(F.array().cast("array<string>")).alias("_lines"))
     rows = rows.select("*", F.array_join("_w", "").alias("_joined"), F.size("_w").alias("_n"))
     at = lambda i: F.get(F.col("_w"), i)
-    grams = F.when(F.col("_n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    grams = F.when(F.col("_n") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.struct(window_hash(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     rows = rows.withColumn("_grams", grams)
 
     def same(a: Column, b: Column) -> Column:
         return (a["h"] == b["h"]) & (at(a["i"]) == at(b["i"])) & (at(a["i"] + 1) == at(b["i"] + 1)) & (at(a["i"] + 2) == at(b["i"] + 2))
 
+    def twice(grams, equal) -> Column:
+        found = F.filter(grams, lambda x, k: F.coalesce(equal(x, F.get(grams, k - 1)), F.lit(False)) | F.coalesce(equal(x, F.get(grams, k + 1)), F.lit(False)))
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
+
     g = F.col("_grams")
-    twice = F.filter(g, lambda x, k: F.coalesce(same(x, F.get(g, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(g, k + 1)), F.lit(False)))
-    rows = rows.withColumn("_twice", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    clash = F.exists(F.sequence(F.lit(1), F.size(g) - 1), lambda k: (F.get(g, k - 1)["h"] == F.get(g, k)["h"]) & ~same(F.get(g, k - 1), F.get(g, k)))
+    # words hold no blank, so windows joined by blanks are equal only if their words are
+    spelled = F.sort_array(F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.struct(F.concat_ws(" ", at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i"))))
+    exact = F.element_at(F.transform(F.array(spelled), lambda s: twice(s, lambda a, b: a["h"] == b["h"])), 1)
+    rows = rows.withColumn("_twice", F.when((F.size(g) > 1) & clash, exact).otherwise(twice(g, same)))
     # each place covers three words, less what the next place covers already
     cover = F.aggregate("_twice", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")), lambda acc: acc["n"])
     return rows.select(
@@ -106,7 +116,7 @@ def _covers(rule: list[Test], table: dict[str, np.ndarray], rows: np.ndarray) ->
     return out
 
 
-def _grow(table, bad, rows, most: int, steps: int = 64) -> list[Test]:
+def _grow(table, bad, rows, most: int, barred: set[Test], steps: int = 64) -> list[Test]:
     rule: list[Test] = []
     now = rows.copy()
     while len(rule) < most:
@@ -123,9 +133,12 @@ def _grow(table, bad, rows, most: int, steps: int = 64) -> list[Test]:
                 mask = x[now][:, None] >= cuts if above else x[now][:, None] <= cuts
                 p, n = mask[bad[now]].sum(axis=0), mask[~bad[now]].sum(axis=0)
                 gain = p * (np.log2(np.maximum(p, 1e-9) / np.maximum(p + n, 1)) - np.log2(p0 / (p0 + n0)))
-                k = int(np.argmax(gain))
-                if p[k] and (best is None or gain[k] > best[0] + 1e-9):
-                    best = (gain[k], Test(name, above, float(cuts[k])))
+                for k in np.argsort(-gain, kind="stable"):
+                    test = Test(name, above, float(cuts[k]))
+                    if test not in barred:
+                        if p[k] and (best is None or gain[k] > best[0] + 1e-9):
+                            best = (gain[k], test)
+                        break
         if best is None or best[0] <= 1e-6:
             break
         rule.append(best[1])
@@ -133,31 +146,37 @@ def _grow(table, bad, rows, most: int, steps: int = 64) -> list[Test]:
     return rule
 
 
-def learn(table: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_tests: int = 4, precision: float = 0.95, seed: int = 5) -> list[list[Test]]:
-    """Rules for rows of class ``bad``, in order."""
+def learn(table: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_tests: int = 4, precision: float = 0.98, least: int = 2, most_dropped: int = 50, seed: int = 5) -> list[list[Test]]:
+    """Rules for rows of class ``bad``, in order; a rule must hold ``precision`` on the pruning third (``least`` bad rows there, at least) and on all rows."""
     if not bad.any() or bad.all():
         return []
     third = np.random.default_rng(seed).integers(0, 3, len(bad)) == 0
     left, rules = np.ones(len(bad), bool), []
-    while len(rules) < most_rules and (left & bad & ~third).any():
-        rule = _grow(table, bad, left & ~third, most_tests)
-        if not rule:
-            break
+    barred: set[Test] = set()
 
-        def worth(r):
-            got = _covers(r, table, left & third)
-            p, n = int((got & bad).sum()), int((got & ~bad).sum())
-            return (p - n) / max(1, p + n)
+    def precise(rule: list[Test], rows: np.ndarray, few: int) -> bool:
+        got = _covers(rule, table, rows)
+        p = int((got & bad).sum())
+        return p >= few and p >= precision * int(got.sum())
 
+    def worth(rule: list[Test]) -> float:
+        got = _covers(rule, table, left & third)
+        p, n = int((got & bad).sum()), int((got & ~bad).sum())
+        return (p - n) / max(1, p + n)
+
+    while len(rules) < most_rules and len(barred) < most_dropped and (left & bad & ~third).any():
+        rule = _grow(table, bad, left & ~third, most_tests, barred)
+        if not rule:
+            break
+        last = rule[-1]
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule = rule[:-1]
-        got = _covers(rule, table, left)
-        checked = _covers(rule, table, left & third)
-        p, n = int((checked & bad).sum()), int((checked & ~bad).sum())
-        if p + n == 0 or p / (p + n) < precision or (got & bad).sum() / got.sum() < precision:
-            break
-        rules.append(rule)
-        left &= ~got
+        if precise(rule, left & third, least) and precise(rule, left, 1):
+            rules.append(rule)
+            left &= ~_covers(rule, table, left)
+        else:
+            barred.add(rule[-1] if len(rule) > 1 else rule[0])
+            barred.add(last)
     return rules
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -253,6 +254,62 @@ def test_quality(spark, docs, rows, empty):
     assert all(r.rule == 0 for r in quality.judged(both, labels.limit(0)).collect())
 
 
+def test_equal_hashes_of_different_windows_do_not_count(spark, rows):
+    """All windows get one of three hashes, so collisions interleave with real repeats."""
+    texts = [(i, t) for i, (_, t, _) in enumerate(rows) if t and len(t) < 2000] + [(900, "a b c x a b c y a b c"), (901, "ab c d a bc d ab c d")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in quality.statistics(df, window_hash=lambda *w: F.xxhash64(*w) % 3).collect()}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = Counter(zip(w, w[1:], w[2:]))
+        assert got[i] == len({k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}), t
+
+
+def test_rules_hold_on_rows_that_did_not_train():
+    rng = np.random.default_rng(3)
+
+    def sample(n):
+        bad = rng.random(n) < 0.15
+        kind = rng.integers(0, 2, n)
+        table = {f: rng.random(n) for f in quality.FEATURES}
+        table["symbol_ratio"] = np.where(bad & (kind == 0), rng.uniform(0.2, 0.4, n), rng.uniform(0, 0.05, n))
+        table["repeat_ratio"] = np.where(bad & (kind == 1), rng.uniform(0.7, 1, n), rng.uniform(0, 0.3, n))
+        return table, bad
+
+    for n in (120, 3000):
+        rules = quality.learn(*sample(n))
+        table, bad = sample(5000)
+        hit = np.zeros(5000, bool)
+        for r in rules:
+            hit |= quality._covers(r, table, np.ones(5000, bool))
+        assert (hit & bad).sum() >= 0.95 * bad.sum() and (hit & ~bad).sum() <= 0.02 * hit.sum()
+    # a conjunction: neither condition alone is precise
+    table = {f: rng.random(4000) for f in quality.FEATURES}
+    bad = (table["bang_ratio"] > 0.6) & (table["mean_word"] < 0.5)
+    hit = np.zeros(4000, bool)
+    for r in quality.learn(table, bad):
+        hit |= quality._covers(r, table, np.ones(4000, bool))
+    assert (hit & bad).sum() >= 0.8 * bad.sum() and (hit & ~bad).sum() <= 0.02 * hit.sum()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_quality_verdict_on_held_out_labels(spark):
+    """Learn from four fifths of the labels; precision and recall on the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = quality.judged(docs, labels.where(~held)).join(labels.where(held).select("doc_id", "quality"), "doc_id").collect()
+    assert sum(r.rule > 0 for r in out) > 0
+    bad = [r for r in out if r.quality == 0]
+    assert sum(not r.kept for r in bad) >= 0.9 * len(bad)
+    assert sum(r.rule > 0 and r.quality == 1 for r in out) <= 0.02 * len(out)
+
+
+def test_long_text_statistics(spark):
+    text = "\n".join(f"word{k % 997} other{k % 89} | {k}" for k in range(40_000))
+    r = quality.statistics(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_words == 160_000 and r.n_symbols == 40_000 and r.n_dup_lines == 0
+
+
 def test_decontamination(spark, docs, empty):
     item = "Quarx zelbo fintal murpo dreska volin tharb ankeso brillo gantz. Wolpe syndra kelt morvan ispil tragon."
     near = item.replace("murpo", "changed").upper()
