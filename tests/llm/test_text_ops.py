@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -50,6 +51,99 @@ def test_secret_tokens_inside_assignments_and_mixed_runs(spark):
         assert len(found) == 1 and found[0] in (RANDOM, "ab-" + RANDOM), texts[r.doc_id]
 
 
+def plain_p(token):
+    """The battery's p-value in plain Python."""
+    body = token.rstrip("=")
+    name = next(k for k, p in (("hex", "[0-9a-f]+"), ("HEX", "[0-9A-F]+"), ("base32", "[A-Z2-7]+"), ("base62", "[A-Za-z0-9]+"), ("base64", "[A-Za-z0-9+/]+"), ("base64url", "[A-Za-z0-9_-]+")) if re.fullmatch(p, body))
+    at = [secrets.ALPHABETS[name].index(c) + 1 for c in body]
+    n, k = len(at), len(secrets.ALPHABETS[name])
+    tail = lambda z: math.erfc(z / 2**0.5) / 2
+
+    def gamma(x, mean, variance, third):
+        skew = third / variance**1.5
+        shape = 4 / skew**2
+        return tail((max(1e-9, 1 + (x - mean) / variance**0.5 * skew / 2) ** (1 / 3) - (1 - 1 / (9 * shape))) * 3 * shape**0.5)
+
+    equal, p, m = sum(c * (c - 1) / 2 for c in Counter(at).values()), 1 / k, n * (n - 1) / 2
+    ps = [gamma(equal, m * p, m * p * (1 - p), m * p * (1 - p) * (1 - 2 * p) + n * (n - 1) * (n - 2) * p * p * (1 - p))]
+    counts = [len(re.findall(c, body)) for c in ("[0-9]", "[A-Z]", "[a-z]", "[^0-9A-Za-z]")]
+    cells = [(c, n * w / k) for c, w in zip(counts, secrets.SHARES[name]) if w]
+    ps.append(gamma(sum((c - e) ** 2 / e for c, e in cells), len(cells) - 1, 2 * (len(cells) - 1), 8 * (len(cells) - 1)))
+    high = sum(2 * x > k for x in at)
+    runs = 1 + sum((2 * x > k) != (2 * y > k) for x, y in zip(at, at[1:]))
+    expected = 2 * high * (n - high) / n + 1
+    spread = max(0, (expected - 1) * (expected - 2) / (n - 1)) ** 0.5
+    ps.append(2 * tail(abs(runs - expected) / spread if 0 < high < n and spread else 10))
+    mean = sum(at) / n
+    around = sum((x - mean) ** 2 for x in at)
+    lag = sum((x - mean) * (y - mean) for x, y in zip(at, at[1:]))
+    ps.append(2 * tail(abs(lag / around * n**0.5 + n**-0.5) if around else 10))
+    return 1 - (1 - min(1, *ps)) ** 4
+
+
+def random_tokens(rng, n):
+    alphabets = list(secrets.ALPHABETS.values())
+    return ["".join(rng.choice(list(alphabets[k % len(alphabets)]), int(rng.integers(20, 60)))) for k in range(n)]
+
+
+def identifiers(rng, n):
+    """CamelCase names and slugs that end in digits."""
+    words = "get user account handler service factory default message buffer config request response table index parser stream client server value event".split()
+    out = []
+    for k in range(n):
+        w = rng.choice(words, 5)
+        out.append(("".join(x.title() for x in w) if k % 2 else "-".join(w)) + str(rng.integers(1, 10**4)))
+    return out
+
+
+def test_battery_against_plain_form(spark):
+    rng = np.random.default_rng(7)
+    tokens = random_tokens(rng, 60) + identifiers(rng, 40) + ["a" * 30 + "1", "0123456789abcdef" * 3, "ABCDEFGH234567ABCDEFGH"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.p_value(F.col("t")).alias("p")).collect()
+    assert all(r.p == pytest.approx(plain_p(r.t), abs=2e-5) for r in got)
+
+
+def test_battery_p_is_about_even_and_tells_names_from_keys(spark):
+    rng = np.random.default_rng(8)
+    keys = ["".join(rng.choice(list(secrets.ALPHABETS[a]), n)) for a in secrets.ALPHABETS for n in (20, 32, 64) for _ in range(60)]
+    p = np.array([plain_p(t) for t in keys])
+    assert all(abs((p > c).mean() - (1 - c)) < 0.12 for c in (0.1, 0.5, 0.8))
+    names = np.array([plain_p(t) for t in identifiers(rng, 400)])
+    assert (names > 0.5).mean() < 0.02
+    rows = [(i, f"see {t} there") for i, t in enumerate(keys + identifiers(rng, 2000))]
+    out = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    eligible = [i for i, t in enumerate(keys) if re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
+    assert np.mean([len(out[i]) > 0 for i in eligible]) > 0.9  # hex of 24 and more is found by its pattern
+    alarms = sum(len(out[i]) > 0 for i in range(len(keys), len(rows)))
+    assert alarms <= 0.1 * (alarms + len(eligible))
+
+
+def test_thresholds_by_estimated_false_discoveries():
+    even = {c: 50 for c in range(1, secrets.CLASSES + 1)}
+    assert secrets.limit_of(even, 0.05) == 1
+    few = dict.fromkeys(range(1, 11), 400)  # structured tokens below p = 0.05
+    c = secrets.limit_of({k: even[k] + few.get(k, 0) for k in even}, 0.05)
+    above = sum(v for k, v in even.items() if k >= c), sum(v for k, v in few.items() if k >= c)
+    assert c > 1 and above[1] <= 0.06 * sum(above) and secrets.limit_of(even | {c - 1: 4000}, 0.05) >= c
+    assert secrets.limit_of({}, 0.05) == secrets.CLASSES + 1 == secrets.limit_of({0: 9}, 0.05)
+
+
+def test_many_matches_in_one_text(spark):
+    """Thousands of matches of each kind, overlapping ones among them: positions and masks as in the plain form."""
+    rng = np.random.default_rng(9)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 26)) for _ in range(1500)]
+    text = " é ".join(f"{x} token={x[:9]} AKIA{'Z9' * 9} v1/ab-{x[:5]}Q{x[5:15].upper()}xY{x[16:24]}" for x in hexes)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = secrets.scan(df).first()
+    assert [(s.start, s.kind, s.end) for s in r.spans if s.kind < 3] == plain_secrets(text)
+    spans, at, out = [(s.start, s.end) for s in r.spans], 0, []
+    for a, z in spans:
+        if a >= at:
+            out += [text[at:a], "[REDACTED]"]
+        at = max(at, z)
+    assert secrets.redacted(df).first().text == "".join(out) + text[at:]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 1200
     rows = [(0, "http://a/", "x" * 999), (1, "http://b/", "x" * 999), (2, "http://c/", big), (5, None, big), (9, "http://d/\r\nX: 1", big), (3, "http://e/", None), (4, "http://f/", "WARC/1.1\r\n\r\n" * 100), (None, "http://g/", big), (2, "http://c/", big)]
