@@ -83,11 +83,11 @@ def split_words(window: int, gram: int):
 
 
 def judge_words(window: int):
-    def judge(blobs):
+    def judge(blobs, expand):
         least: dict[bytes, int] = {}
         key_of: dict[bytes, int] = {}
         for blob in blobs:
-            cols, texts = unpack_strings(blob)
+            cols, texts = unpack_strings(blob, expand)
             for k, d, t in zip(cols[0].tolist(), cols[3].tolist(), texts):
                 if d < least.get(t, 2**63):
                     least[t] = d
@@ -99,7 +99,7 @@ def judge_words(window: int):
         some = [t for t, k in key_of.items() if per_key[k] > 1]
         flags = _shared(some, [least[t] for t in some], window) if some else {}
         for blob in blobs:
-            cols, texts = unpack_strings(blob)
+            cols, texts = unpack_strings(blob, expand)
             doc, h, pos, units = cols[3], cols[4], cols[5], cols[2]
             out = []
             for i, t in enumerate(texts):

@@ -124,12 +124,12 @@ def repeated_starts(texts: list[bytes], window: int, runs: int = 4) -> list[np.n
 
 
 def judge_bytes(window: int):
-    def judge(blobs):
+    def judge(blobs, expand):
         count: dict[bytes, int] = {}
         key_of: dict[bytes, int] = {}
         marked: set[bytes] = set()
         for blob in blobs:
-            cols, texts = unpack_strings(blob)
+            cols, texts = unpack_strings(blob, expand)
             for k, m, t in zip(cols[0].tolist(), cols[1].tolist(), texts):
                 count[t] = count.get(t, 0) + (2 if m & 2 else 1)
                 key_of[t] = k
@@ -149,7 +149,7 @@ def judge_bytes(window: int):
             starts.update(zip(some[lo:hi], repeated_starts(some[lo:hi], window)))
             lo = hi
         for blob in blobs:
-            cols, texts = unpack_strings(blob)
+            cols, texts = unpack_strings(blob, expand)
             doc, h, pos, units = cols[3].tolist(), cols[4].tolist(), cols[5].tolist(), cols[2].tolist()
             out = []
             for i, t in enumerate(texts):

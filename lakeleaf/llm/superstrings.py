@@ -2,7 +2,7 @@
 
 Every occurrence of a window has the same minimiser, so all of them meet in one bucket, whatever surrounds
 them. Within a map task equal strings travel once; only what cannot be decided there goes on. Strings of a
-bucket are packed and compressed together, a few megabytes at a time.
+bucket are packed and compressed together, a few megabytes at a time, against a dictionary of sampled text.
 
 Grams that would draw more than a set share of all text to one bucket rank after all others as minimisers, so a
 window takes one only if it has no rarer gram. They are found on a sample by hash of the rows; which they are
@@ -27,7 +27,7 @@ from lakeleaf.llm.common import byte_slices, dropped, keyed, shuffle_partitions,
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 CHUNK = 1 << 20
-FLUSH = 32 << 20
+FLUSH = 20 << 20
 #: Bytes that a gathered span counts for.
 SPAN = 100
 OUT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
@@ -78,8 +78,9 @@ def sliding(x: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
 class Packer:
     """Gathers strings and decided spans of one map task and yields compressed blobs by bucket."""
 
-    buckets: int
+    buckets: np.ndarray  # their labels
     keep_all_of_least: bool  # True: keep every place of the smallest doc_id; False: keep one place and a repeat mark
+    dictionary: bytes = b""
     strings: dict = field(default_factory=dict)
     spans: list = field(default_factory=list)
     size: int = 0
@@ -111,15 +112,16 @@ class Packer:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
+        n, labels, press = len(self.buckets), self.buckets.tolist(), compressor(self.dictionary)
         for text, (key, mark, units, doc, h, places) in self.strings.items():
             if isinstance(text, tuple):
                 text = text[0]
             for p in places:
-                by.setdefault(key % self.buckets, []).append((key // self.buckets & 0xFFFF, mark, units, doc, h, p, text))
-        rows = [(b, STRINGS, pack_strings(x)) for b, x in by.items()]
+                by.setdefault(key % n, []).append((key // n & 0xFFFF, mark, units, doc, h, p, text))
+        rows = [(labels[b], STRINGS, pack_strings(x, press)) for b, x in by.items()]
         for lo in range(0, len(self.spans), 50_000):
             self.turn += 1
-            rows.append((int(mixed(np.array([self.spans[lo][0] + self.turn], np.int64).view(np.uint64))[0] % np.uint64(self.buckets)), SPANS, pack_spans(self.spans[lo : lo + 50_000])))
+            rows.append((labels[int(mixed(np.array([self.spans[lo][0] + self.turn], np.int64).view(np.uint64))[0] % np.uint64(n))], SPANS, pack_spans(self.spans[lo : lo + 50_000])))
         self.strings, self.spans, self.size = {}, [], 0
         for lo in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 256]), OUT.types)], schema=OUT)
@@ -128,18 +130,30 @@ class Packer:
 COLUMNS = (np.uint16, np.uint8, np.int32, np.int64, np.int64, np.int64, np.int32)
 
 
-def pack_strings(entries: list) -> bytes:
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=4)
+    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(level=4)
+    return zstandard.ZstdCompressor(level=4, dict_data=data)
+
+
+def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None)
+
+
+def pack_strings(entries: list, press: zstandard.ZstdCompressor) -> bytes:
     """(key class, mark, units, doc, h, pos, string) of each entry; numbers by byte plane, doc as differences, for the compressor's sake."""
     *cols, texts = zip(*entries)
     cols = [np.array(c, t) for c, t in zip((*cols, [len(x) for x in texts]), COLUMNS)]
     cols[3] = np.diff(cols[3], prepend=0)
     planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(texts), -1).T).tobytes() for c in cols]
-    return zstandard.ZstdCompressor(level=9).compress(b"".join((np.array([len(texts)], np.int64).tobytes(), *planes, *texts)))
+    return press.compress(b"".join((np.array([len(texts)], np.int64).tobytes(), *planes, *texts)))
 
 
-def unpack_strings(blob: bytes):
+def unpack_strings(blob: bytes, expand: zstandard.ZstdDecompressor):
     """[key class, mark, units, doc, h, pos] arrays and the list of strings."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = expand.decompress(blob)
     n, at, cols = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
     for t in COLUMNS:
         width = np.dtype(t).itemsize
@@ -180,8 +194,8 @@ class Ranking:
         return out
 
 
-def ranking(docs: DataFrame, split: Callable, target: int = 32 << 20) -> Ranking:
-    """Finds the grams that more than a share of the sampled text has as minimiser; the share is that of ``target`` bytes, from ``2**-20`` to
+def ranking(docs: DataFrame, split: Callable, target: int = 32 << 20) -> tuple[Ranking, bytes]:
+    """The ranking, and at most 128 KB of sampled text for compression. Finds the grams that more than a share of the sampled text has as minimiser; the share is that of ``target`` bytes, from ``2**-20`` to
     ``2**-10``, which also bounds how many grams there are. The sample is of ``4096 / share`` bytes, about."""
     rows = keyed(docs)
     total = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first().n or 0
@@ -207,20 +221,35 @@ def ranking(docs: DataFrame, split: Callable, target: int = 32 << 20) -> Ranking
     least = share * (sums.agg(F.sum("n").alias("n")).first().n or 0)
     got = sums.where(F.col("n") > max(least, 4096)).select("gram").toArrow()["gram"].to_numpy()  # at most 1 / share
     dropped(sums)
-    return Ranking(got)
+    some = sample.where("_text <> ''").select(F.substring("_text", 1, 1024).alias("t")).limit(128).collect()
+    return Ranking(got), " ".join(r.t for r in some).encode()[: 128 << 10]
+
+
+def bucket_labels(spark, partitions: int, each: int = 16) -> np.ndarray:
+    """Numbers that Spark's hash partitioning deals evenly: ``each`` for each partition."""
+    found: dict[int, list[int]] = {}
+    n = 4 * each * partitions
+    while len(found) < partitions or min(map(len, found.values())) < each:
+        some = spark.range(n).select(F.col("id").cast("int").alias("label")).select("label", F.pmod(F.hash("label"), F.lit(partitions)).alias("part")).toArrow()
+        found = {}
+        for label, part in zip(some["label"].to_pylist(), some["part"].to_pylist()):
+            if len(mine := found.setdefault(part, [])) < each:
+                mine.append(label)
+        n *= 2
+    return np.array([x[k] for k in range(each) for _, x in sorted(found.items())], np.int32)
 
 
 def repeated_spans(docs: DataFrame, split: Callable, judge: Callable, keep_all_of_least: bool) -> DataFrame:
     """(_id, _h, start, end): spans of repeated windows.
 
     split(data, offsets, rank) yields (document number, start, units, key, string, mark), key being the hash of the
-    minimiser (under ``rank`` its rank); judge(blobs) yields span arrays for the packed strings of one bucket.
+    minimiser (under ``rank`` its rank); judge(blobs, expand) yields span arrays for the packed strings of one bucket.
     """
-    buckets = 16 * shuffle_partitions(docs.sparkSession)
-    rank = ranking(docs, split)
+    buckets = bucket_labels(docs.sparkSession, shuffle_partitions(docs.sparkSession))
+    rank, dictionary = ranking(docs, split)
 
     def cut(batches):
-        packer = Packer(buckets, keep_all_of_least)
+        packer = Packer(buckets, keep_all_of_least, dictionary)
         for b in batches:
             ids, hs = b.column(0).to_pylist(), b.column(1).to_pylist()
             data, at = byte_slices(b.column(2))
@@ -240,12 +269,12 @@ def repeated_spans(docs: DataFrame, split: Callable, judge: Callable, keep_all_o
             for lo in range(0, len(doc), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 20_000]) for x in (doc, h, start, end)], names=["_id", "_h", "start", "end"])
 
-        now, blobs, ready = None, [], []
+        now, blobs, ready, expand = None, [], [], decompressor(dictionary)
         for b in batches:
             for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns)):
                 if bucket != now:
                     if blobs:
-                        ready += judge(blobs)
+                        ready += judge(blobs, expand)
                     now, blobs = bucket, []
                 if kind == SPANS:
                     ready.append(unpack_spans(blob))
@@ -255,7 +284,7 @@ def repeated_spans(docs: DataFrame, split: Callable, judge: Callable, keep_all_o
                     yield from out(ready)
                     ready = []
         if blobs:
-            ready += judge(blobs)
+            ready += judge(blobs, expand)
         if ready:
             yield from out(ready)
 

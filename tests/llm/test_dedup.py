@@ -63,12 +63,19 @@ def test_bytes_of_null_and_repeated_ids(many):
 def test_frequent_grams_rank_last(many):
     docs = many[1]
     split = substring_dedup.split_words(13, 2)
-    rank = superstrings.ranking(docs, split, 0)
+    rank, dictionary = superstrings.ranking(docs, split, 0)
+    assert 0 < len(dictionary) <= 128 << 10
     assert 0 < len(rank.common) <= 1 << 20
     grams = np.array([*rank.common[:3], 5, 2**32 - 1], np.uint32)
     assert (rank(grams)[:3] >= 1 << 31).all() and (rank(grams)[3:] < 1 << 31).all()
 
 
+def test_bucket_labels_are_dealt_evenly(spark):
+    labels = superstrings.bucket_labels(spark, 13)
+    frame = spark.createDataFrame([(int(x),) for x in labels], "bucket int").repartition(13, "bucket").selectExpr("spark_partition_id() as p")
+    assert len(set(labels.tolist())) == 13 * 16 and {r["count"] for r in frame.groupBy("p").count().collect()} == {16}
+
+
 def check_bytes(docs, rows):
     seen = Counter(b[k : k + 200] for _, t, _ in rows for b in [(t or "").encode()] for k in range(len(b) - 199))
     expected = Counter()
