@@ -5,12 +5,15 @@ ASCII and hashed into ``2 ** bits`` rows of an embedding table. The text's vecto
 linear layer and a softmax give the languages. Scoring uses the product of table and layer (one small row of
 logits for each hash), which is the same linear map.
 
-Probabilities are calibrated by a temperature fitted on documents that training did not use, and texts whose
-score falls below a calibrated floor are marked as rejected: the floor is the largest score, 0.6 at most, under
-which at most ``reject_rate`` of the calibration documents fall.
+The softmax has one class more than there are languages: text that is none of them, trained on the languages' own pieces with
+their bytes in random order. Probabilities are calibrated by a temperature fitted (with Platt's smoothed targets, so that it is
+determined even where all are right) on documents that training did not use, and on shuffled ones. A text is rejected if its best language's
+probability is below a floor midway between what ``reject_rate`` of the calibration documents fall under and what all but one in a hundred of the
+shuffled ones do.
 
 The fit uses a bounded sample of labelled rows: the ``sample`` rows with the smallest hash of doc_id (default
-1500), cut into pieces of at most ``piece`` bytes that are all used. Everything else covers all rows and whole texts.
+1500), of each at most ``pieces`` pieces of ``piece`` bytes, evenly spread over the text; they are cut on the executors, so
+``sample * pieces * piece`` bytes (7 MB) reach the driver at most. Everything else covers all rows and whole texts.
 
 Defined cases: null text and text without any letter are ``und`` with score 0 and rejected; rows without a
 lang never train; if nothing can be learned from, every text is ``und``; repeated rows are scored alike; a null doc_id counts as held out.
@@ -51,7 +54,7 @@ def features(data: np.ndarray, bits: int, orders: tuple[int, ...] = (2, 3, 4)):
 @dataclass
 class Model:
     langs: list[str]
-    logits: np.ndarray  # one row for each hash
+    logits: np.ndarray  # one row for each hash; the last column is no language
     bias: np.ndarray
     bits: int
     temperature: float
@@ -60,7 +63,7 @@ class Model:
     def mean_logits(self, data: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
         """Mean logits of each text, from the bytes of all texts."""
         n = len(offsets) - 1
-        sums, counts = np.zeros((n, len(self.langs))), np.zeros(n)
+        sums, counts = np.zeros((n, self.logits.shape[1])), np.zeros(n)
         for i in range(n):
             for lo in range(int(offsets[i]), int(offsets[i + 1]), step):
                 hi = min(int(offsets[i + 1]), lo + step)
@@ -80,79 +83,104 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, epochs: int = 2, rate: float = 0.5, piece: int = 600, reject_rate: float = 0.001, seed: int = 7, least_steps: int = 400) -> Model:
-    """SGD over pieces of the texts, in mini-batches; one text in eight is held back for calibration."""
+def grams_of(piece: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a piece and the share of each among its features."""
+    found = [x[some] for x, some in features(piece, bits)]
+    flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    ids, counts = np.unique(flat, return_counts=True)
+    return ids.astype(np.int64), (counts / max(1, len(flat))).astype(np.float32)
+
+
+def train(texts: list[list[bytes]], langs: list[str], bits: int = 16, dim: int = 16, epochs: int = 3, rate: float = 0.5, reject_rate: float = 0.001, seed: int = 7, least_steps: int = 600) -> Model:
+    """SGD over pieces of the texts (a list of pieces each), in mini-batches; one text in eight is held back for calibration."""
     names = sorted(set(langs))
+    other = len(names)
     rng = np.random.default_rng(seed)
     held = np.arange(len(texts)) % 8 == 7
-    pieces, target = [], []
-    for i, (t, y) in enumerate(zip(texts, langs)):
-        if not held[i]:
-            for lo in range(0, max(len(t), 1), piece):
-                pieces.append(np.frombuffer(t[lo : lo + piece], np.uint8))
-                target.append(names.index(y))
+    rows, target = [], []
+    for parts, y, h in zip(texts, langs, held):
+        for t in parts if not h else ():
+            data = np.frombuffer(t, np.uint8)
+            rows.append(grams_of(data, bits))
+            target.append(names.index(y))
+            if len(rows) % 5 == 0:  # a fifth of them once more, in disorder
+                rows.append(grams_of(data[rng.permutation(len(data))], bits))
+                target.append(other)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
-    layer = rng.normal(0, 0.1, (dim, len(names))).astype(np.float32)
-    bias = np.zeros(len(names), np.float32)
+    layer = rng.normal(0, 0.1, (dim, other + 1)).astype(np.float32)
+    bias = np.zeros(other + 1, np.float32)
     target = np.array(target, np.int64)
-    epochs = max(epochs, -(-32 * least_steps // max(1, len(pieces)))) if pieces else 0  # small tables are seen more often
-    steps, done = max(1, epochs * len(pieces)), 0
+    epochs = max(epochs, -(-32 * least_steps // max(1, len(rows)))) if rows else 0  # small tables are seen more often
+    steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
-        order = rng.permutation(len(pieces))
+        order = rng.permutation(len(rows))
         for lo in range(0, len(order), 32):
             batch = order[lo : lo + 32]
-            ids = [np.concatenate([x[s] for x, s in features(pieces[i], bits)] or [np.zeros(0, np.uint32)]).astype(np.int64) for i in batch]
-            sizes = np.array([max(1, len(x)) for x in ids])
-            flat = np.concatenate(ids)
-            of = np.repeat(np.arange(len(batch)), [len(x) for x in ids])
-            if not len(flat):
-                continue
-            some = np.array([len(x) > 0 for x in ids])
-            starts = np.cumsum([0] + [len(x) for x in ids])[:-1][some]
-            mean = np.zeros((len(batch), dim), np.float32)
-            mean[some] = np.add.reduceat(table[flat], starts, axis=0) / sizes[some, None]
+            mean = np.stack([w @ table[ids] for ids, w in (rows[i] for i in batch)])
             z = mean @ layer + bias
             z = np.exp(z - z.max(axis=1, keepdims=True))
             grad = z / z.sum(axis=1, keepdims=True)
             grad[np.arange(len(batch)), target[batch]] -= 1
             lr = rate * (1 - done / steps)
-            back = (grad @ layer.T) / sizes[:, None]
+            back = lr * 8 * (grad @ layer.T)
             layer -= lr * (mean.T @ grad) / len(batch) * 8
             bias -= lr * grad.mean(axis=0)
-            # hashed rows repeat within a batch, so their updates are summed per row first
-            rows, inverse = np.unique(flat, return_inverse=True)
-            total = np.zeros((len(rows), dim), np.float32)
-            np.add.at(total, inverse, back[of])
-            table[rows] -= lr * 8 * total
+            for i, g in zip(batch, back):
+                ids, w = rows[i]
+                table[ids] -= w[:, None] * g
             done += len(batch)
     model = Model(names, (table @ layer).astype(np.float32), bias.astype(np.float64), bits, 1.0, 0.0)
-    probe = [t for t, h in zip(texts, held) if h]
+    probe = [b" ".join(parts) for parts, h in zip(texts, held) if h]
+    truth = np.array([names.index(y) for y, h in zip(langs, held) if h] + [other] * len(probe), np.int64)
+    probe += [d[rng.permutation(len(d))].tobytes() for t in probe for d in [np.frombuffer(t, np.uint8)]]
     if probe:
-        data, at = np.frombuffer(b"".join(probe), np.uint8), np.cumsum([0] + [len(t) for t in probe])
-        logits = model.mean_logits(data, at)
-        truth = np.array([names.index(y) for y, h in zip(langs, held) if h])
+        calibrate(model, probe, truth, reject_rate)
+    return model
 
-        def loss(temperature):
-            model.temperature = temperature
-            return -np.log(np.maximum(model.probabilities(logits)[np.arange(len(truth)), truth], 1e-12)).mean()
 
-        model.temperature = float(min(np.geomspace(0.3, 5, 40), key=loss))
-        score = np.sort(model.probabilities(logits).max(axis=1))
-        model.floor = min(float(score[int(reject_rate * len(score))]) * 0.999, 0.6)
-    return model
+def calibrate(model: Model, texts: list[bytes], truth: np.ndarray, reject_rate: float) -> None:
+    """Set temperature and floor by texts that training did not use; a truth beyond the languages is none of them."""
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    logits, other = model.mean_logits(data, at), len(model.langs)
+    smooth = 1 / (len(texts) + 2)
+
+    def loss(temperature):
+        model.temperature = temperature
+        p = np.log(np.maximum(model.probabilities(logits), 1e-300))
+        own = p[np.arange(len(truth)), truth]
+        return -((1 - smooth) * own + smooth * (p.sum(axis=1) - own) / other).mean()
 
+    model.temperature = float(min(np.geomspace(0.005, 5, 140), key=loss))
+    score = model.probabilities(logits)[:, :other].max(axis=1)
+    good, none = score[truth < other], score[truth == other]
+    high = float(np.quantile(good, reject_rate)) if len(good) else 0.5
+    low = float(np.quantile(none, 0.99)) if len(none) else 0.0
+    model.floor = (low + high) / 2 if low < high else high * 0.999
 
-def fit(docs: DataFrame, sample: int = 1500, **options) -> Model | None:
+
+def fit(docs: DataFrame, sample: int = 1500, pieces: int = 8, piece: int = 600, **options) -> Model | None:
     """Fit on at most ``sample`` labelled rows of ``docs`` (doc_id, text, lang) whose crc32(doc_id) mod 5 is not 0."""
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     # the threshold on the hash comes from a count, so that the sort handles about ``sample`` rows, whatever the table's size
-    n = rows.count()
+    n = rows.select("doc_id").count()
     if not n:
         return None
     h = F.abs(F.xxhash64("doc_id", F.lit(11)) % F.lit(1 << 40))
-    near = rows.where(h <= F.lit(int(min(1, 1.2 * sample / n + 50 / n) * (1 << 40))))
-    got = near.select(h.alias("h"), "doc_id", "lang", "text").orderBy("h", "doc_id", "lang", F.xxhash64("text")).limit(sample).collect()
-    return train([r.text.encode() for r in got], [r.lang for r in got], **options)
+    near = rows.where(h <= F.lit(int(min(1, 1.2 * sample / n + 50 / n) * (1 << 40)))).select(h.alias("h"), "doc_id", "lang", F.xxhash64("text").alias("t"), "text")
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for t in b.column(4):
+                raw = t.as_py().encode()
+                k = max(1, -(-len(raw) // piece))
+                some = range(k) if k <= pieces else sorted({j * (k - 1) // (pieces - 1) for j in range(pieces)} if pieces > 1 else {0})
+                out.append([raw[j * piece : (j + 1) * piece] for j in some])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.binary()))], names=["h", "doc_id", "lang", "t", "parts"])
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    got = near.mapInArrow(cut, f"h long, doc_id {doc_id}, lang string, t long, parts array<binary>").orderBy("h", "doc_id", "lang", "t").limit(sample).collect()
+    return train([[bytes(x) for x in r.parts] for r in got], [r.lang for r in got], **options)
 
 
 def held_out():
@@ -182,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] =
                         score.append(0.0)
                         rejected.append(True)
                     else:
-                        best = int(p[i - lo].argmax())
+                        best = int(p[i - lo][: len(model.langs)].argmax())
                         lang.append(model.langs[best])
                         score.append(float(min(1.0, p[i - lo][best])))
                         rejected.append(score[-1] < model.floor)

@@ -260,6 +260,30 @@ def test_language_id(docs, rows, empty):
     assert all(r.lang_pred == "und" for r in langid.predict(docs.select("doc_id", "text"), None).collect())
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_id_on_held_out_rows(spark):
+    """Accuracy on rows that never train; real text is kept, the same text with its characters in disorder is rejected."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    held = docs.where(langid.held_out() & F.col("lang").isNotNull() & (F.length("text") >= 100))
+    out = langid.predict(held, model).collect()
+    assert len(out) > 50 and np.mean([r.lang_pred == r.lang for r in out]) > 0.97
+    assert np.mean([r.rejected for r in out]) <= 0.02
+    rng = np.random.default_rng(1)
+    noise = [(k, "".join(rng.permutation(list(r.text[:3000])))) for k, r in enumerate(out)]
+    mixed = langid.predict(spark.createDataFrame(noise, "doc_id long, text string"), model).collect()
+    assert np.mean([r.rejected for r in mixed]) > 0.9
+    assert 0.005 < model.temperature < 5 and 0 < model.floor < 1
+
+
+def test_language_id_never_learns_from_held_out_rows(docs, rows):
+    """Rows that are held out may say anything: the model is the same."""
+    ids = {i for i, _, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 0}
+    other = docs.withColumn("lang", F.when(F.col("doc_id").isin(*ids), F.lit("xx")).otherwise(F.col("lang")))
+    one, two = langid.fit(docs, epochs=1, least_steps=1), langid.fit(other, epochs=1, least_steps=1)
+    assert "xx" not in two.langs and np.array_equal(one.logits, two.logits) and one.floor == two.floor
+
+
 def test_packing(spark, docs, rows, empty):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
@@ -442,6 +466,58 @@ def test_decontamination_finds_all_that_verification_accepts(spark):
     assert found == {(k, 1) for k in range(340)} | {(k, 2) for k in range(340, 400)}
 
 
+def plain_matches(texts, items, lcs=0.6, lcs_answer=0.45, answer=0.8):
+    """Every item against every window of every text."""
+    out = set()
+    for d, t in texts:
+        words = decontaminate.words_of((t or "").lower())
+        for i, x in items:
+            own = decontaminate.words_of(x.lower())
+            reply = decontaminate.answer_of(x.lower())
+            size = max(len(own) + len(own) // 4, len(own) + 2)
+            for a in range(max(1, len(words) - size + 1)):
+                window = words[a : a + size]
+                share = decontaminate.common_subsequence(own, window) / len(own)
+                if share >= lcs or share >= lcs_answer and decontaminate.common_subsequence(reply, window) / max(1, len(reply)) >= answer:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """Paraphrases by substitution, deletion and insertion: nothing beyond brute force, and at least nine tenths of it."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmno"), int(rng.integers(2, 7)))) for _ in range(600)]
+    weight = 1 / np.arange(1, 601)
+    prose = lambda n: list(rng.choice(vocabulary, n, p=weight / weight.sum()))
+    items = []
+    for i in range(25):
+        w = prose(int(rng.integers(12, 50)))
+        w[len(w) * 2 // 3] += "."
+        items.append((i, " ".join(w)))
+    texts = [(k, " ".join(prose(int(rng.integers(0, 120))))) for k in range(60)]
+    for k in range(240):
+        w = items[k % 25][1].split()
+        keep = rng.choice([0.5, 0.65, 0.8, 0.95])
+        changed = [x if rng.random() < keep else y for x in w for y in (prose(1) if k % 2 else [""])[:1]]
+        texts.append((100 + k, " ".join([*prose(int(rng.integers(0, 60))), *changed, *prose(int(rng.integers(0, 60)))])))
+    texts += [(None, texts[70][1]), (None, "a b"), (100, texts[3][1]), (500, None), (501, "")]
+    docs = spark.createDataFrame([(*x, "x", 0.5) for x in texts], "doc_id long, text string, text_hash string, cosine double").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()}
+    want = plain_matches(texts, items)
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 100
+    some = decontaminate.matches(docs, bench, block=5)
+    again = {(r.doc_id, r.item_id) for r in some.collect()}
+    assert again <= want and len(again) >= 0.9 * len(want)
+    kept = decontaminate.clean(docs, bench)
+    hits = {(r.doc_id, r.text_hash) for r in decontaminate.matches(docs, bench).collect()}
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(((r.doc_id, r.text) for r in rows if (r.doc_id, r.h) not in hits), key=repr)
+    assert (None, "a b") in {(r.doc_id, r.text) for r in kept.collect()}
+
+
 def test_verification_accepts_any_window():
     item, answer = [b"%d" % k for k in range(40)], [b"%d" % k for k in range(32, 40)]
     words = item[:20] + [b"x"] * 100 + item[20:39]  # most of the item in the first window, the answer in the last
