@@ -234,3 +234,32 @@ def scope_hosts(allowed: list[str], aliases: dict[str, list[str]] | None = None)
     if len(out) > 32:
         raise ValueError("more than 32 hosts")
     return sorted(out)
+
+
+def utf16_key(text) -> Column:
+    """Sort key of the order of UTF-16 units, in which characters beyond the basic plane come before U+E000 and up."""
+    return F.encode(_col(text), "UTF-16BE")
+
+
+def text_contains(text, wanted: str) -> Column:
+    """True if the text holds the words, whatever their case."""
+    return F.contains(F.lower(_col(text)), F.lit(wanted.lower()))
+
+
+def union_flags(*flags: Column) -> Column:
+    """Sorted union of flag lists; null lists are empty."""
+    none = F.array().cast("array<string>")
+    out = none
+    for f in flags:
+        out = F.array_union(out, F.coalesce(f, none))
+    return F.array_sort(F.array_compact(out))
+
+
+def unknown_keys(json_text, allowed: tuple[str, ...]) -> Column:
+    """Sorted keys of a JSON object that are not allowed."""
+    return F.array_sort(F.array_except(F.json_object_keys(_col(json_text)), F.array(*map(F.lit, allowed))))
+
+
+def kept_labels(json_text, allowed: tuple[str, ...], most: int = 10**15) -> Column:
+    """Integer labels of a JSON object as a map: allowed keys, values below ``most`` in size."""
+    return F.map_filter(F.from_json(_col(json_text), "map<string,bigint>"), lambda k, v: k.isin(*allowed) & (F.abs(v) < most))

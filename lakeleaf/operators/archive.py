@@ -128,3 +128,19 @@ def attempts(audit: DataFrame, url: str = "url", seq: str = "seq") -> DataFrame:
 
 def revisit_ratio() -> Column:
     return F.count_if(F.col("is_revisit")) / F.count("*")
+
+
+def ordered_digest(records: DataFrame, order: str, body: str) -> DataFrame:
+    """One row: the digest of the records' digests in order. Only 64 characters a record meet in one place."""
+    rows = records.select(F.col(order).alias("at"), F.sha2(body, 256).alias("d")).agg(F.array_sort(F.collect_list(F.struct("at", "d"))).alias("a"))
+    return rows.select(F.sha2(F.array_join(F.transform("a", lambda x: x["d"]), ""), 256).alias("digest"))
+
+
+def find_sequence(data: str | Column, wanted: bytes) -> Column:
+    """Place from 1 of the first occurrence of a byte sequence in a binary or text column, 0 if there is none."""
+    raw = F.hex((F.col(data) if isinstance(data, str) else data).cast("binary"))
+    # every byte is two digits, so a hit at an odd place is a hit; others are looked for behind it
+    digits = wanted.hex().upper()
+    pairs = F.regexp_replace(raw, "(..)", "$1 ")
+    at = F.instr(pairs, " ".join(digits[i : i + 2] for i in range(0, len(digits), 2)))
+    return F.when(at > 0, ((at - 1) / 3).cast("int") + 1).otherwise(0)

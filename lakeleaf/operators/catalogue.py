@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +59,10 @@ def with_moves(rows: DataFrame) -> DataFrame:
     now = kept(parent.select("url", "since", bad.alias("bad"), F.when(~bad & F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("url")).alias("root")), "moves")
     for _ in range(40):  # doubles the followed distance, so chains of 2 ** 40 moves end
         up = now.select(F.col("url").alias("u"), F.col("root").alias("r"))
-        after = kept(now.join(up, now.root == up.u).select("url", "since", "bad", F.col("r").alias("root")), "moves")
-        if after.exceptAll(now).isEmpty():
+        after = kept(now.join(up, now.root == up.u).select("url", "since", "bad", F.col("r").alias("root"), (F.col("r") != F.col("root")).alias("_moved")), "moves")
+        now = after.drop("_moved")
+        if after.where("_moved").isEmpty():
             break
-        now = after
     roots = now.select(F.col("url").alias("r_url"), source_identity("root").alias("root_id"), "bad")
     origin = now.select(F.col("url").alias("o_url"), source_identity("root").alias("origin_id"), F.col("since").alias("o_since"))
     out = rows.drop("source_id").join(roots, rows.url == roots.r_url).join(origin, F.col("moved_from") == F.col("o_url"), "left")
@@ -170,10 +171,13 @@ def compared(revs: DataFrame, before: str, after: str) -> DataFrame:
 POLICY_OUT = "source_id string, event_id long, action string, reason string, error string, handling string, flags array<string>, retain_until double, legal_hold boolean, removed boolean"
 
 
-def policy_fold(initial: str, events: list[dict]) -> list[dict]:
-    """Apply one source's ordered policy events; an event that is refused has an error and changes nothing."""
+def policy_fold(initial: str, events) -> list[dict]:
+    return list(policy_steps(initial, events))
+
+
+def policy_steps(initial: str, events):
+    """Apply one source's ordered policy events, one at a time; an event that is refused has an error and changes nothing."""
     now = {"handling": initial, "flags": [], "retain_until": None, "legal_hold": False, "removed": False}
-    out = []
     for e in events:
         details = json.loads(e["details"] or "{}")
         reason, action = e["reason"] or "", e["action"]
@@ -213,21 +217,28 @@ def policy_fold(initial: str, events: list[dict]) -> list[dict]:
         else:
             error = "unknown_action"
         now |= {} if error else change
-        out.append({"source_id": e["source_id"], "event_id": e["event_id"], "action": action, "reason": reason, "error": error, **now})
-    return out
+        yield {"source_id": e["source_id"], "event_id": e["event_id"], "action": action, "reason": reason, "error": error, **now}
 
 
 def policy_history(events: DataFrame, sources: DataFrame) -> DataFrame:
-    """State after each event (source_id, event_id, action, reason, recorded, details) of each source (source_id, handling)."""
-    import pandas as pd
+    """State after each event (source_id, event_id, action, reason, recorded, details) of each source (source_id, handling).
+
+    Events are sorted by source and number inside their partitions and folded as they stream by: only one source's state is
+    held, whatever the number of its events."""
+    from itertools import chain, groupby
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("event_id")
-        rows = policy_fold(frame["initial"].iloc[0], frame.to_dict("records"))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in POLICY_OUT.split(", ")])
+    import pyarrow as pa
 
-    joined = events.join(sources.select("source_id", F.col("handling").alias("initial")), "source_id")
-    return joined.groupBy("source_id").applyInPandas(run, POLICY_OUT)
+    schema = pa.schema([(n, t) for n, t in zip([c.split()[0] for c in POLICY_OUT.split(", ")], (pa.string(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.float64(), pa.bool_(), pa.bool_()))])
+
+    def run(batches):
+        rows = chain.from_iterable(b.to_pylist() for b in batches)
+        steps = (step for _, mine in groupby(rows, lambda r: r["source_id"]) for first in [next(mine)] for step in policy_steps(first["initial"], chain([first], mine)))
+        while part := [x for _, x in zip(range(5000), steps)]:
+            yield pa.RecordBatch.from_pylist(part, schema)
+
+    joined = events.join(sources.select("source_id", F.col("handling").alias("initial")), "source_id").select("source_id", "event_id", "action", "reason", "recorded", "details", "initial")
+    return joined.repartition("source_id").sortWithinPartitions("source_id", "event_id").mapInArrow(run, POLICY_OUT)
 
 
 def policy_state(events: DataFrame, sources: DataFrame) -> DataFrame:
@@ -250,11 +261,23 @@ def source_handling(rows: DataFrame, policy: DataFrame) -> DataFrame:
     return out.select("source_id", F.when((F.col("handling") == "public") & F.col("acquired_as").isNotNull(), F.col("acquired_as")).otherwise(F.col("handling")).alias("handling"))
 
 
+def with_open_source(revs: DataFrame, policy: DataFrame) -> DataFrame:
+    """Revisions whose source is public, unflagged and not removed."""
+    return revs.join(policy.where((F.col("handling") == "public") & (F.size("flags") == 0) & ~F.col("removed")), "source_id", "left_semi")
+
+
+def with_acquisition(revs: DataFrame, acquired: DataFrame) -> DataFrame:
+    return revs.join(acquired, "revision_id", "left_semi")
+
+
+def without_restricted(revs: DataFrame, holders: DataFrame) -> DataFrame:
+    """Revisions that no row of ``holders`` (acquisitions or derivatives: revision_id, handling) restricts."""
+    return revs.join(holders.where("handling <> 'public'"), "revision_id", "left_anti")
+
+
 def eligible_revisions(revs: DataFrame, policy: DataFrame, acquired: DataFrame, derivatives: DataFrame) -> DataFrame:
-    """Revisions that may leave: public, unflagged, not removed, acquired, and without any restricted acquisition or derivative. Semi and anti joins only."""
-    good = policy.where((F.col("handling") == "public") & (F.size("flags") == 0) & ~F.col("removed"))
-    out = revs.join(good, "source_id", "left_semi").join(acquired, "revision_id", "left_semi")
-    return out.join(acquired.where("handling <> 'public'"), "revision_id", "left_anti").join(derivatives.where("handling <> 'public'"), "revision_id", "left_anti")
+    """Revisions that may leave: of an open source, acquired, and without any restricted acquisition or derivative. Semi and anti joins only."""
+    return without_restricted(without_restricted(with_acquisition(with_open_source(revs, policy), acquired), acquired), derivatives)
 
 
 def eligible_derivatives(derivatives: DataFrame, eligible: DataFrame) -> DataFrame:
@@ -289,9 +312,10 @@ def derivative_problem() -> Column:
 
 def derivative_identity(revision: str, metadata: str, places: str) -> Column:
     """``search:`` and the digest of the compact JSON list of revision, metadata text and locator text."""
-    @F.udf("string", useArrow=True)
-    def run(r, m, p):
-        return "search:" + hashlib.sha256(json.dumps([r, m, p], separators=(",", ":")).encode()).hexdigest()
+    @F.pandas_udf("string")
+    def run(r: pd.Series, m: pd.Series, p: pd.Series) -> pd.Series:
+        compact = json.JSONEncoder(separators=(",", ":")).encode
+        return pd.Series(["search:" + hashlib.sha256(compact(list(x)).encode()).hexdigest() for x in zip(r, m, p)])
 
     return run(revision, metadata, places)
 

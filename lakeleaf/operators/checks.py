@@ -166,3 +166,13 @@ def leases(requests: DataFrame, seconds: int = 300) -> DataFrame:
 def notification(jobs: DataFrame) -> DataFrame:
     """What may be told of a job: its id, state and kind, never its specification."""
     return jobs.select("id", "state", F.lit("job").alias("kind"))
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """(path, sha256, size) of files (path, content)."""
+    return files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
+
+
+def lock_inventory(entries: DataFrame) -> DataFrame:
+    """(role, entries, bytes) of a lock's entries (role, size)."""
+    return entries.groupBy("role").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))

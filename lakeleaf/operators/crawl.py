@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from lakeleaf.functions import http, urls
 from lakeleaf.operators.tables import kept
+from lakeleaf.operators.windows import global_rank
 
 
 def ordered_frontier(frontier: DataFrame) -> DataFrame:
-    """By tier, then depth, then insertion."""
-    return frontier.orderBy("tier", "depth", "seq")
+    """Ranked by tier, then depth, then insertion."""
+    return fifo(frontier, ["tier", "depth", "seq"])
+
+
+def fifo(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``rank``, the gapless place of each row in the queue."""
+    return global_rank(rows, [F.asc(c) for c in order])
 
 
 def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, domains: list[str], first_wins: bool = False, max_pages: int | None = None) -> DataFrame:
@@ -36,8 +42,6 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, domains: list[s
         fresh = found.where("reason is null").select("url", "depth")
     out = seen.select("url", "depth", F.when(F.col("reason").isNull(), "queued").otherwise("excluded").alias("state"), "reason")
     if max_pages is not None:
-        from lakeleaf.operators.windows import global_rank
-
         first = global_rank(out.where("state = 'queued'"), [F.asc("depth"), F.asc("url")], "n").select("url", "n")
         out = out.join(first, "url", "left").withColumn("state", F.when(F.col("n") > max_pages, "pending").otherwise(F.col("state"))).drop("n")
     return out

@@ -228,3 +228,21 @@ def graph_svg(edges: list[tuple[str, str]], most: int = 500, label: int = 60) ->
     rows = [f'<text x="10" y="{20 + 18 * i}">{escape(a[:label])} → {escape(b[:label])}</text>' for i, (a, b) in enumerate(shown)]
     note = f'<text x="10" y="{20 + 18 * len(shown)}">{len(edges) - len(shown)} more</text>' if len(edges) > most else ""
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="1200" height="{40 + 18 * (len(shown) + 1)}">{"".join(rows)}{note}</svg>'
+
+
+def progress(audit: DataFrame) -> DataFrame:
+    """One row: requests, distinct addresses, captured documents of a ledger (url, digest)."""
+    return audit.agg(F.count("*").alias("audit"), F.count_distinct("url").alias("visited"), F.count_if(F.col("digest").isNotNull()).alias("docs"))
+
+
+def ocr_confidence(words: DataFrame) -> DataFrame:
+    """(page, confidence): mean confidence of each page's words (page, confidence from 0 to 100), rounded; values outside count for nothing, a page without any has null."""
+    good = F.when(F.col("confidence").between(0, 100), F.col("confidence"))
+    return words.groupBy("page").agg(F.round(F.avg(good), 6).alias("confidence"))
+
+
+def taxonomy_matches(docs: DataFrame, categories: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, code) of every category (code, keyword) whose keyword a text holds, whatever its case; categories are parameters, tested in one scan."""
+    text = F.lower(F.col(text_col))
+    found = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(k.lower())), F.lit(c)) for c, k in categories]))
+    return docs.select(id_col, F.explode(found).alias("code"))

@@ -2,7 +2,7 @@
 
 A query's terms are few and known on the driver, so term counts are columns of the document scan: nothing is
 exploded and no postings are shuffled. Corpus figures (documents, mean length, document frequencies) are one
-row of a global aggregate, sent to the scoring scan; the top rows come from a partial top-k in every task.
+row of a global aggregate over the written counts, sent to their scoring; the top rows come from a partial top-k in every task.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeleaf.operators.extract import tokens
+from lakeleaf.operators.tables import kept
 
 # The ranking constants.
 K1, B, RRF = 1.2, 0.75, 60
@@ -49,7 +50,7 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     terms = _query_terms(query)
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
-    counts = term_counts(docs, terms, id_col, text_col)
+    counts = kept(term_counts(docs, terms, id_col, text_col), "term_counts")  # a few numbers a document: the text is read once
     scored = counts.where(F.exists("tf", lambda x: x > 0)).join(F.broadcast(_corpus(counts, len(terms))))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -60,14 +61,22 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     return scored.select("id", score.alias("score")).where("score > 0")
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalized(vector: str | Column) -> Column:
     """Unit vector, scaled by its largest magnitude first; empty, null-holding, non-finite and zero vectors raise."""
-    v = F.transform(F.col(vector) if isinstance(vector, str) else vector, lambda x: x.cast("double"))
-    largest = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    bad = v.isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (largest == 0)
-    scaled = F.transform(v, lambda x: x / largest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("vector must be finite and nonzero")).cast("array<double>")).otherwise(F.transform(scaled, lambda x: x / norm))
+    refused = F.raise_error(F.lit("vector must be finite and nonzero")).cast("array<double>")
+
+    def scaled(v: Column) -> Column:
+        largest = F.greatest(F.abs(F.array_max(v)), F.abs(F.array_min(v)))  # not a number is greater than any
+        bad = (F.size(v) == 0) | F.exists(v, lambda x: x.isNull()) | F.isnan(largest) | (largest == float("inf")) | (largest == 0)
+        return F.when(F.coalesce(bad, F.lit(True)), refused).otherwise(_once(largest, lambda top: F.transform(v, lambda x: x / top)))
+
+    doubles = (F.col(vector) if isinstance(vector, str) else vector).cast("array<double>")
+    return _once(_once(doubles, scaled), lambda v: _once(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(v, lambda x: x / norm)))
 
 
 def unit(values: list[float]) -> list[float]:

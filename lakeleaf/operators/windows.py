@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeleaf.operators.tables import kept
+
 
 def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds a gapless number from 1 in the given order: a range-partitioned sort, part sizes on the driver (one row a part), a row number within each part."""
+    """Adds a gapless number from 1 in the given order (which must tell rows apart): the table is range-partitioned and sorted once and written with each row's part and
+    place in it, so that no later evaluation can part it differently; part sizes on the driver (one row a part) give each part's first number."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*order)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return numbered.withColumn("_in", F.row_number().over(w)).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = kept(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")), "ranked")
+    before, at = [], 0
+    for r in sorted(numbered.groupBy("_part").count().collect()):
+        before.append((r["_part"], at + 1))
+        at += r["count"]
+    firsts = spark.createDataFrame(before, "_part int, _first long")
+    return numbered.join(F.broadcast(firsts), "_part").select(*rows.columns, (F.col("_first") + F.col("_place")).alias(name))
+
+
+def head_before(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Adds ``before``, the value of the key's row before, and ``content_changed``, null for the key's first row."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("before", before).withColumn("content_changed", F.col("before") != F.col(value))
+
+
+def ewma(rows: DataFrame, key: str, order: str, value: str, weight: float = 0.2) -> DataFrame:
+    """(key, ewma): the exponential average of each key's values in order, rounded half to even at every step; the first value stands for itself."""
+    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("x")))).alias("s"))
+    fold = F.aggregate("s", F.lit(None).cast("double"), lambda a, s: F.when(a.isNull(), s["x"]).otherwise(F.bround(s["x"] * weight + a * (1 - weight), 0)))
+    return ordered.select(key, fold.alias("ewma"))
 
 
 def running_offset(rows: DataFrame, file: str, seq: str, length: str, name: str = "offset") -> DataFrame:

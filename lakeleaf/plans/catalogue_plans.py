@@ -69,10 +69,9 @@ def _(t):
 
 @P.add("win_head_before", "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> event_type AS content_changed FROM events")
 def _(t):
-    from pyspark.sql import Window
+    from lakeleaf.operators.windows import head_before
 
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.select("event_id", before.alias("before"), (before != F.col("event_type")).alias("content_changed"))
+    return head_before(t.events, "user_id", ["ts", "event_id"], "event_type").select("event_id", "before", "content_changed")
 
 
 @P.add("read_receipt", _REV + " SELECT count(*) AS receipts, count(*) AS valid FROM a")
@@ -80,9 +79,11 @@ def _(t):
     return C.verified_receipts(C.register(t.acquisitions())).agg(F.count("*").alias("receipts"), F.count_if("valid").alias("valid"))
 
 
-@P.add("sort_receipts", _REV + " SELECT acquisition_id, source_id FROM a ORDER BY acquisition_id LIMIT 100")
+@P.add("sort_receipts", _REV + " SELECT acquisition_id, source_id, row_number() OVER (ORDER BY acquisition_id) AS rank FROM a")
 def _(t):
-    return C.register(t.acquisitions()).orderBy("acquisition_id").select("acquisition_id", "source_id").limit(100)
+    from lakeleaf.operators.windows import global_rank
+
+    return global_rank(C.register(t.acquisitions()).select("acquisition_id", "source_id"), [F.asc("acquisition_id")])
 
 
 @P.add("read_revisions", _REV + ", f AS (SELECT DISTINCT ON (revision_id) revision_id, url, content_hash, acquired FROM a WHERE url = 'https://example.com/u/3' ORDER BY revision_id, acquisition_id) SELECT revision_id, content_hash, acquired FROM f")
@@ -177,24 +178,28 @@ def _(t):
     return C.eligible_derivatives(derived, C.eligible_revisions(revs, policy, acquired, derived)).select("derivative_id")
 
 
-@P.add("join_semi_policy", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+@P.add("join_semi_policy", f"WITH s AS ({_STATE}) SELECT 'r' || doc_id AS revision_id FROM s WHERE {_HANDLING} = 'public'")
 def _(t):
-    return t.documents.select("doc_id").join(t.labels.where("toxic = 0"), "doc_id", "left_semi")
+    revs, policy, _, _ = _eligible_inputs(t)
+    return C.with_open_source(revs, policy).select("revision_id")
 
 
-@P.add("join_semi_acquired", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@P.add("join_semi_acquired", "SELECT 'r' || doc_id AS revision_id FROM documents WHERE doc_id % 4 <> 0")
 def _(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    revs, _, acquired, _ = _eligible_inputs(t)
+    return C.with_acquisition(revs, acquired).select("revision_id")
 
 
-@P.add("join_anti_restricted", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+@P.add("join_anti_restricted", "SELECT 'r' || doc_id AS revision_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 9 <> 0")
 def _(t):
-    return t.customer.join(t.orders.where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    revs, _, acquired, _ = _eligible_inputs(t)
+    return C.without_restricted(revs, acquired).select("revision_id")
 
 
-@P.add("join_anti_derivative", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+@P.add("join_anti_derivative", "SELECT 'r' || doc_id AS revision_id FROM documents WHERE doc_id % 10 <> 0")
 def _(t):
-    return t.documents.select("doc_id").join(t.labels.where("quality = 0"), "doc_id", "left_anti")
+    revs, _, _, derived = _eligible_inputs(t)
+    return C.without_restricted(revs, derived).select("revision_id")
 
 
 @P.add("join_cache_purge", f"WITH {_ELIGIBLE}, k AS (SELECT doc_id FROM el JOIN documents USING (doc_id) WHERE doc_id % 13 <> 0 AND length(trim(text)) > 0) SELECT count(*) AS purged FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k)")
@@ -266,9 +271,10 @@ def _(t):
 
 @P.add("join_compare_derivatives")
 def _(t):
-    a = t.documents.where("text is not null").select(F.col("doc_id").alias("a_id"), F.col("text").alias("a_text"), F.sha2(F.substring("text", 1, 20), 256).alias("k"))
-    b = a.select(F.col("a_id").alias("b_id"), F.col("a_text").alias("b_text"), "k")
-    pairs = a.join(b, "k").where("a_id < b_id")
+    """Each derivative of a document's text with that of the stated document a hundred numbers on."""
+    a = t.documents.where("text is not null").select(F.col("doc_id").alias("a_id"), F.col("text").alias("a_text"))
+    b = a.select(F.col("a_id").alias("b_id"), F.col("a_text").alias("b_text"))
+    pairs = a.join(b, F.col("b_id") == F.col("a_id") + 100)
     return pairs.select("a_id", "b_id", X.text_difference("a_text", "b_text", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("d")).select("a_id", "b_id", "d.status", F.length("d.diff").alias("chars"))
 
 

@@ -61,9 +61,9 @@ def _(t):
     return _yield(t).select("section", "docs")
 
 
-@P.add("sort_yield", _YIELD + ' SELECT section, round(100.0 * coalesce(docs, 0) / pages, 1) AS yield FROM p LEFT JOIN d USING (section) ORDER BY 100.0 * coalesce(docs, 0) / pages DESC, section LIMIT 10')
+@P.add("sort_yield", _YIELD + ' SELECT section, round(100.0 * coalesce(docs, 0) / pages, 1) AS yield FROM p LEFT JOIN d USING (section) ORDER BY 100.0 * coalesce(docs, 0) / pages DESC, section')
 def _(t):
-    return _yield(t).orderBy(F.desc(F.col("docs") / F.col("pages")), "section").select("section", "yield").limit(10)
+    return _yield(t).orderBy(F.desc(F.col("docs") / F.col("pages")), "section").select("section", "yield")
 
 
 @P.add("agg_low_yield", _YIELD + " SELECT section, pages, 'Zero documents found across traversed branch. Consider pruning scope to preserve server resources.' AS reason FROM p LEFT JOIN d USING (section) WHERE pages >= 5 AND docs IS NULL")
@@ -215,12 +215,12 @@ def _(t):
 
 @P.add("agg_progress", f"WITH a AS ({AUDIT}) SELECT count(*) AS audit, count(DISTINCT url) AS visited, count(*) FILTER (digest IS NOT NULL) AS docs FROM a")
 def _(t):
-    return t.audit().agg(F.count("*").alias("audit"), F.count_distinct("url").alias("visited"), F.count_if(F.col("digest").isNotNull()).alias("docs"))
+    return R.progress(t.audit())
 
 
-@P.add("agg_ocr_confidence", "SELECT l_orderkey % 100 AS page, round(avg(l_quantity), 6) AS confidence FROM lineitem GROUP BY 1")
+@P.add("agg_ocr_confidence", "SELECT l_orderkey % 100 AS page, round(avg(CASE WHEN l_quantity * 3 - 20 BETWEEN 0 AND 100 THEN l_quantity * 3 - 20 END), 6) AS confidence FROM lineitem GROUP BY 1")
 def _(t):
-    return t.lineitem.groupBy((F.col("l_orderkey") % 100).alias("page")).agg(F.round(F.avg("l_quantity"), 6).alias("confidence"))
+    return R.ocr_confidence(t.lineitem.select((F.col("l_orderkey") % 100).alias("page"), (F.col("l_quantity") * 3 - 20).cast("double").alias("confidence")))
 
 
 # --- package and manifest joins ---------------------------------------------------
@@ -267,12 +267,12 @@ def _(t):
 
 @P.add("files_inventory", "SELECT s_name AS path, sha256(s_name) AS sha256, CAST(length(s_name) AS BIGINT) AS size FROM supplier")
 def _(t):
-    return _files(t).select("path", "sha256", "size")
+    return V.inventory(t.supplier.select(F.col("s_name").alias("path"), F.col("s_name").cast("binary").alias("content")))
 
 
-@P.add("lock_inventory", "SELECT s_nationkey AS role, count(*) AS entries FROM supplier GROUP BY 1")
+@P.add("lock_inventory", "SELECT s_nationkey AS role, count(*) AS entries, CAST(sum(length(s_name)) AS BIGINT) AS bytes FROM supplier GROUP BY 1")
 def _(t):
-    return t.supplier.groupBy(F.col("s_nationkey").alias("role")).agg(F.count("*").alias("entries"))
+    return V.lock_inventory(t.supplier.select(F.col("s_nationkey").alias("role"), F.length("s_name").alias("size")))
 
 
 # --- archive ------------------------------------------------------------------------
@@ -365,8 +365,7 @@ def _(t):
 
 @P.add("agg_archive_digest", "SELECT sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents WHERE text IS NOT NULL")
 def _(t):
-    rows = _records(t).agg(F.array_sort(F.collect_list(F.struct("seq", F.sha2("body", 256).alias("d")))).alias("a"))
-    return rows.select(F.sha2(F.array_join(F.transform("a", lambda x: x["d"]), ""), 256).alias("digest"))
+    return A.ordered_digest(_records(t), "seq", "body")
 
 
 @P.add("scan_warc_js", f"WITH p AS ({PAGES}) SELECT count(DISTINCT scheme || '://' || lower(host) || path || '?' || query) AS addresses FROM p")
@@ -399,14 +398,14 @@ def _(t):
     return K.retryable(a.select("url", "status", F.lit(None).cast("string").alias("error_type")), a.select("seq", "url")).select("url")
 
 
-@P.add("sort_frontier", "SELECT event_id FROM events ORDER BY user_id % 3, user_id % 5, event_id LIMIT 100")
+@P.add("sort_frontier", "SELECT event_id, row_number() OVER (ORDER BY user_id % 3, user_id % 5, event_id) AS rank FROM events")
 def _(t):
-    return K.ordered_frontier(t.events.select((F.col("user_id") % 3).alias("tier"), (F.col("user_id") % 5).alias("depth"), F.col("event_id").alias("seq"))).select(F.col("seq").alias("event_id")).limit(100)
+    return K.ordered_frontier(t.events.select((F.col("user_id") % 3).alias("tier"), (F.col("user_id") % 5).alias("depth"), F.col("event_id").alias("seq"))).select(F.col("seq").alias("event_id"), "rank")
 
 
-@P.add("sort_fifo", "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 100")
+@P.add("sort_fifo", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rank FROM events")
 def _(t):
-    return t.events.orderBy("ts", "event_id").select("event_id").limit(100)
+    return K.fifo(t.events.select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "rank")
 
 
 @P.add("win_first_seen", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
@@ -590,9 +589,9 @@ def _(t):
     return t.events.select("event_id", F.regexp_replace(X.sorted_json("props")["value"], ":", ": ").alias("json"))
 
 
-@P.add("find_sequence", "SELECT page_id, CAST(instr(html, '</head>') AS INTEGER) AS at FROM pages")
+@P.add("find_sequence", "SELECT page_id, CAST(CASE WHEN instr(html, '</head>') > 0 THEN octet_length(encode(left(html, instr(html, '</head>') - 1))) + 1 ELSE 0 END AS INTEGER) AS at FROM pages")
 def _(t):
-    return t.pages.select("page_id", F.instr("html", "</head>").alias("at"))
+    return t.pages.select("page_id", A.find_sequence("html", b"</head>").alias("at"))
 
 
 @P.add("html_rewrite_replay", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"/[^\"#?&]*\"')) AS links FROM pages")

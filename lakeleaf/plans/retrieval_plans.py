@@ -18,9 +18,9 @@ def _bm25_sql(terms: list[str], tail: str = "") -> str:
  s AS (SELECT CAST(count(*) AS DOUBLE) AS docs, avg(words) AS mean, {dfs} FROM c), scored AS (SELECT doc_id AS id, {score} AS score FROM c, s) {tail}"""
 
 
-@P.add("tokenize_words", f"WITH w AS (SELECT unnest({TOKENS}) AS token FROM documents) SELECT token, count(*) AS n FROM w GROUP BY token ORDER BY n DESC, token LIMIT 50")
+@P.add("tokenize_words", f"WITH w AS (SELECT unnest({TOKENS}) AS token FROM documents) SELECT token, count(*) AS n FROM w GROUP BY token")
 def _(t):
-    return t.documents.select(F.explode(tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
+    return t.documents.select(F.explode(tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @P.add("agg_bm25", _bm25_sql(["and", "of", "the"], "SELECT id, round(score, 6) AS score FROM scored WHERE score > 0"))

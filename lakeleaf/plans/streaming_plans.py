@@ -36,9 +36,9 @@ def _drained(t, df: DataFrame, mode: str) -> DataFrame:
 # --- folds over ordered samples ---------------------------------------------------
 @P.add("win_ewma", "WITH l AS (SELECT user_id, list(CAST(floor(value * 10) AS DOUBLE) ORDER BY event_id) AS v FROM events GROUP BY user_id) SELECT user_id, list_reduce(v, lambda a, x: round_even(0.2 * x + 0.8 * a, 0)) AS ewma FROM l")
 def _(t):
-    g = t.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.floor(F.col("value") * 10).cast("double").alias("x")))), lambda s: s["x"]).alias("v"))
-    fold = F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.get("v", F.lit(0)), lambda a, x: F.bround(x * 0.2 + a * 0.8, 0))
-    return g.select("user_id", fold.alias("ewma"))
+    from lakeleaf.operators.windows import ewma
+
+    return ewma(t.events.withColumn("latency", F.floor(F.col("value") * 10)), "user_id", "event_id", "latency")
 
 
 def _samples(t, engine="user_id"):
@@ -101,14 +101,13 @@ def _(t):
 
 @P.add("state_cooldown", "SELECT 'h' || (user_id % 5) AS host, CAST(max(epoch_us(ts) // 1000) + 5000 AS DOUBLE) AS wake FROM events WHERE event_type = 'error' GROUP BY 1")
 def _(t):
-    s = _samples(t).where("status = 503")
-    return s.groupBy("host").agg((F.max("ts_ms") + F.least(F.lit(5000.0), F.lit(60 * 10_000.0))).alias("wake"))
+    return S.host_cooldowns(_samples(t))
 
 
-@P.add("state_jitter", "SELECT event_id, 1200 + CAST((event_id % 100) / 100.0 * 2300 AS BIGINT) >= 1200 AS within FROM events")
+@P.add("state_jitter", "SELECT event_id, 1200 + CAST(floor((event_id % 128) / 128.0 * 2300) AS BIGINT) AS even, CAST(greatest(1200, least(3500, round_even(2350 + ((event_id % 17) - 8) * 0.5 * 2300 / 6, 0))) AS BIGINT) AS normal FROM events")
 def _(t):
-    delay = 1200 + ((F.col("event_id") % 100) / 100.0 * 2300).cast("long")
-    return t.events.select("event_id", delay.between(1200, 3500).alias("within"))
+    even, normal = (F.col("event_id") % 128) / 128.0, (F.col("event_id") % 17 - 8) * 0.5
+    return t.events.select("event_id", S.jitter(even, 1200, 3500).alias("even"), S.jitter(normal, 1200, 3500, normal=True).alias("normal"))
 
 
 @P.add("state_export_restore", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'tokens' END AS problem FROM events")
@@ -161,9 +160,9 @@ def _(t):
     return J.gaps(rows).groupBy("client").agg(F.sum("missing").alias("missing"))
 
 
-@P.add("journal_status", "SELECT 'c' || (user_id % 4) AS client, count(*) AS events, max(event_id) AS last FROM events GROUP BY 1")
+@P.add("journal_status", "SELECT 'c' || (user_id % 4) AS client, count(DISTINCT event_id // 2) AS events, max(event_id // 2) AS last, max(event_id // 2) - count(DISTINCT event_id // 2) AS missing FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy(F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("client")).agg(F.count("*").alias("events"), F.max("event_id").alias("last"))
+    return J.status(t.events.select(F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("client"), F.floor(F.col("event_id") / 2).alias("sequence")))
 
 
 @P.add("late_data_stream", "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, {'t': ts, 'i': event_id}) AS head FROM events GROUP BY user_id")
@@ -202,8 +201,7 @@ def _(t):
 
 @P.add("idle_timeout", "WITH g AS (SELECT user_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS d FROM events) SELECT user_id, count(*) FILTER (d > 86400) AS stops FROM g GROUP BY user_id")
 def _(t):
-    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts")).cast("timestamp"))) / 1e6
-    return t.events.select("user_id", gap.alias("d")).groupBy("user_id").agg(F.count_if(F.col("d") > 86400).alias("stops"))
+    return J.idle_stops(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 86400)
 
 
 # --- checkpoints and segments -----------------------------------------------------
@@ -228,7 +226,9 @@ def _(t):
 
 @P.add("limit_discover_archives", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS archive_id FROM events ORDER BY 1 LIMIT 128")
 def _(t):
-    return t.events.select(F.col("user_id").cast("string").alias("archive_id")).distinct().orderBy("archive_id").limit(128)
+    from lakeleaf.sources.files import discovered
+
+    return discovered(t.events.select(F.col("user_id").cast("string").alias("archive_id")))
 
 
 @P.add("refuse_finalized", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 97 = 0)")

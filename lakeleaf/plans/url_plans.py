@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lakeleaf.functions import http, urls
 from lakeleaf.operators import extract as X
+from lakeleaf.operators.crawl import unvisited
 from lakeleaf.plans.base import ACQUISITIONS, AUDIT, PAGES, Plans
 
 P = Plans()
@@ -98,13 +99,13 @@ def _(t):
 
 @P.add("filter_url_list", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog')")
 def _(t):
-    return t.pages.where(F.contains(F.lower("url"), F.lit("blog"))).select("page_id", "url")
+    return t.pages.where(urls.text_contains("url", "blog")).select("page_id", "url")
 
 
-@P.add("filter_depth", f"WITH p AS ({PAGES}) SELECT page_id FROM p WHERE len(list_filter(string_split(path, '/'), lambda x: x <> '')) <= 2 ORDER BY page_id LIMIT 50")
+@P.add("filter_depth", f"WITH p AS ({PAGES}) SELECT page_id FROM p WHERE len(list_filter(string_split(path, '/'), lambda x: x <> '')) <= 2")
 def _(t):
     depth = F.size(F.filter(F.split(urls.parts("url")["path"], "/"), lambda x: x != ""))
-    return t.pages.where(depth <= 2).orderBy("page_id").select("page_id").limit(50)
+    return t.pages.where(depth <= 2).select("page_id")
 
 
 @P.add("scope_hosts", "SELECT unnest(['a.example', 'b.example', 'www.a.example']) AS host")
@@ -120,23 +121,21 @@ def _(t):
 
 @P.add("set_union_flags", "SELECT doc_id, CASE WHEN toxic = 1 THEN ['low', 'toxic'] ELSE ['low'] END AS flags FROM labels WHERE quality = 0")
 def _(t):
-    return t.labels.where("quality = 0").select("doc_id", F.array_sort(F.array_union(F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("low")))).alias("flags"))
+    return t.labels.where("quality = 0").select("doc_id", urls.union_flags(F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))), F.array(F.lit("low"))).alias("flags"))
 
 
 @P.add("set_difference_keys", "SELECT event_id, list_sort(list_filter(json_keys(props), lambda x: x NOT IN ('v', 'w'))) AS unknown FROM events")
 def _(t):
-    return t.events.select("event_id", F.array_sort(F.array_except(F.json_object_keys("props"), F.array(F.lit("v"), F.lit("w")))).alias("unknown"))
+    return t.events.select("event_id", urls.unknown_keys("props", ("v", "w")).alias("unknown"))
 
 
 @P.add("set_known_minus_backlog", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(t):
-    return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")
+    return unvisited(t.documents.select(F.col("doc_id").alias("url")), t.labels.select(F.col("doc_id").alias("url"))).select(F.col("url").alias("doc_id"))
 
 
 @P.add("set_visited_minus", f"WITH p AS ({PAGES}), l AS (SELECT DISTINCT scheme || '://' || host || unnest(regexp_extract_all(html, '<a href=\"(/[^\"#?&]*)\"', 1)) AS url FROM p) SELECT url FROM l WHERE url NOT IN (SELECT url FROM pages)")
 def _(t):
-    from lakeleaf.operators.crawl import unvisited
-
     links = t.pages.select("url", F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"#?&]*)"'), F.lit(1))).alias("href"))
     return unvisited(links.select(urls.resolved("href", "url").alias("url")).distinct(), t.pages)
 
@@ -266,8 +265,7 @@ def _(t):
 
 @P.add("label_filter", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _(t):
-    m = F.map_filter(F.from_json("props", "map<string,bigint>"), lambda k, v: k.isin("k", "n") & (F.abs(v) < 10**15))
-    return t.events.select("event_id", F.element_at(m, "k").alias("k"))
+    return t.events.select("event_id", F.element_at(urls.kept_labels("props", ("k", "n")), "k").alias("k"))
 
 
 @P.add("html_escape", "SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS digest FROM pages")
@@ -290,7 +288,7 @@ def _(t):
 
 @P.add("sort_utf16", "SELECT source, min(doc_id) AS first FROM documents GROUP BY source")
 def _(t):
-    return t.documents.groupBy("source").agg(F.min("doc_id").alias("first")).orderBy(F.encode("source", "UTF-16BE"))
+    return t.documents.groupBy("source").agg(F.min("doc_id").alias("first")).orderBy(urls.utf16_key("source"))
 
 
 @P.add("filter_cdx_search", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog') OR contains('text/html', 'blog')")
@@ -302,8 +300,9 @@ def _(t):
 
 @P.add("join_taxonomy", "SELECT doc_id, code FROM documents, (VALUES ('T1', 'erth'), ('T2', 'ción'), ('T3', 'zzzz')) c(code, k) WHERE contains(lower(text), k)")
 def _(t):
-    cats = t.spark.createDataFrame([("T1", "erth"), ("T2", "ción"), ("T3", "zzzz")], "code string, k string")
-    return t.documents.join(F.broadcast(cats), F.contains(F.lower("text"), F.col("k"))).select("doc_id", "code")
+    from lakeleaf.operators.reports import taxonomy_matches
+
+    return taxonomy_matches(t.documents, [("T1", "erth"), ("T2", "ción"), ("T3", "zzzz")])
 
 
 @P.add("uuid", f"WITH a AS ({ACQUISITIONS}) SELECT acquisition_id, sha256(url || ':' || acquisition_id) AS id FROM a")

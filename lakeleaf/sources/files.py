@@ -61,3 +61,8 @@ def events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Event logs in JSON lines, as a table or a stream; lines that are no JSON have ``_bad``."""
     reader = spark.readStream if stream else spark.read
     return reader.schema(EVENT).option("columnNameOfCorruptRecord", "_bad").json(path)
+
+
+def discovered(ids: DataFrame, limit: int = 128) -> DataFrame:
+    """The first ``limit`` distinct archive ids in order; the limit is the operator's own."""
+    return ids.select("archive_id").where("archive_id is not null").distinct().orderBy("archive_id").limit(limit)

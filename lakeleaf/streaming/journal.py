@@ -63,3 +63,15 @@ def appended_chunks(chunks: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum(F.when(new, F.col("size"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     state = F.when(F.col("size") > 262144, "too_large").when(~new, "retry").when(before == F.col("offset"), "appended").otherwise("offset_mismatch")
     return rows.select("stream", "arrival", "offset", "size", state.alias("state"))
+
+
+def status(rows: DataFrame) -> DataFrame:
+    """(client, events, last, missing) of numbered journal rows (client, sequence): how many there are, the last number, how many numbers are missing."""
+    out = rows.groupBy("client").agg(F.count_distinct("sequence").alias("events"), F.max("sequence").alias("last"))
+    return out.withColumn("missing", F.col("last") - F.col("events"))
+
+
+def idle_stops(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
+    """(key, stops): how often a key was silent for longer than ``seconds`` between two events."""
+    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(Window.partitionBy(key).orderBy(ts)))
+    return events.select(key, gap.alias("_gap")).groupBy(key).agg(F.count_if(F.col("_gap") > seconds * 1e6).alias("stops"))
