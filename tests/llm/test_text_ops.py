@@ -289,7 +289,6 @@ def test_packing(spark, docs, rows, empty):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     odd = ["two  blanks", " lead", "trail ", "a\n b", "a\r b", "<|endoftext|> x", "don't  stop\n\n now", "x " * 3000]
     more = spark.createDataFrame([(1000 + i, x) for i, x in enumerate(odd)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(more)
@@ -314,6 +313,32 @@ def test_packing(spark, docs, rows, empty):
     assert packing.pack(empty, path).collect() == []
 
 
+def test_ids_are_those_of_a_plain_call():
+    """Strings of every kind: the cached pieces and the twin against the tokenizer's own call."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    plain, encoder = tokenizers.Tokenizer.from_file(path), packing.Encoder(path)
+    rng = np.random.default_rng(12)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCDE", *"0123456789", *"éßñçüøæ", *"  \n\t\r", *".,;:!?'\"-_/|#$%&*<>", "\u00a0", "\u3000", "字", "🙂", "\u0301", "<|endoftext|>", "'s", " the", "tion"]
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 60)))) for _ in range(3000)] + ["a" * 500 + " " + "b" * 70, "<|endoftext|>", "x <|endoftext|> y", "<|endof text|>"]
+    for x in texts * 2:
+        assert np.frombuffer(encoder.encode(x), np.uint16).tolist() == plain.encode(x, add_special_tokens=False).ids, x
+    assert encoder.twin is not None and max(map(len, encoder.cache)) <= packing.LONGEST
+    encoder.twin = type("Wrong", (), {"encode_ordinary": lambda self, text: [1]})()
+    with pytest.raises(RuntimeError):
+        for k in range(1000):
+            encoder.ids(f"never seen {k}")
+
+
+def test_repeated_null_rows_are_dealt_over_fill_tasks(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rows = [(None, "the same text again and again")] * 900 + [(k, f"word{k} other{k * 7} text") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tokens = packing.written(packing.tokenised(df, path, 1024, 0), "tokens")
+    sizes = packing.sharded(tokens, packing.stats_of(tokens), 100).groupBy("shard").count().collect()
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) <= 250
+
+
 def test_retrieval_prefers_related_neighbours():
     ids = [np.array(x, np.uint16) for x in ([1] * 5 + [7, 8, 9], [1] * 6 + [20, 21], [7, 8, 9, 30, 31], [1] * 4 + [40])]
     index = packing.Index(ids)
