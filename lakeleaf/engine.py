@@ -45,6 +45,14 @@ class Engine:
         return files.profiles(self.spark, path)
 
 
+def observed(df: DataFrame, callback, **metrics):
+    """``df`` with metrics (name: aggregate) that are computed as its action runs; calling the second value then hands them to ``callback``."""
+    from pyspark.sql import Observation
+
+    watch = Observation()
+    return df.observe(watch, *[m.alias(n) for n, m in metrics.items()]), lambda: callback(watch.get)
+
+
 TOOLS = {
     "list_profiles": {"path"},
     "search_archive": {"query", "path"},

@@ -371,3 +371,18 @@ def folded_states(events: DataFrame, key: str, order: str, state: str, steps: di
         return F.struct(F.when(good, x[state]).otherwise(acc["state"]).alias("state"), (acc["refused"] + F.when(good, 0).otherwise(1)).alias("refused"))
 
     return ordered.select(key, F.aggregate("e", begin, step).alias("r")).select(key, "r.state", F.col("r.refused").cast("long").alias("refused"))
+
+
+def ordered_receipts(receipts: DataFrame, source_id: str | None = None) -> DataFrame:
+    """Receipts that verify, in the order of acquisition (``rank``), of one source or all; a receipt that doesn't verify raises."""
+    from lakeleaf.operators.windows import global_rank
+
+    rows = verified_receipts(receipts if source_id is None else receipts.where(F.col("source_id") == source_id))
+    good = F.when(F.col("valid"), F.col("receipt_id")).otherwise(F.raise_error(F.lit("change_receipt_integrity")))
+    return global_rank(rows.withColumn("receipt_id", good).drop("valid"), [F.asc("acquisition_id")])
+
+
+def resumed(states: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """(job, state, generation): jobs (job, state) joined with their last good checkpoint (job, generation, valid); a queued or paused job runs again, others stay as they are."""
+    last = checkpoints.where("valid").groupBy("job").agg(F.max("generation").alias("generation"))
+    return states.join(last, "job", "left").select("job", F.when(F.col("state").isin("queued", "paused"), "running").otherwise(F.col("state")).alias("state"), F.coalesce("generation", F.lit(0)).alias("generation"))

@@ -283,3 +283,10 @@ def full_text(index: DataFrame, query: str, limit: int | None = None, id_col: st
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("words") / F.col("mean")))
     out = scored.select("id", score.alias("score"))
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def embedded(docs: DataFrame, store: DataFrame, id_col: str = "doc_id", vector_id: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, status, vector): unit vectors of documents from a store of precomputed ones; a document without one is ``unsupported``, since no model is run here."""
+    found = docs.select(F.col(id_col).alias("id")).join(store.where(F.col(vector_col).isNotNull()).select(F.col(vector_id).alias("id"), vector_col), "id", "left")
+    there = F.col(vector_col).isNotNull()
+    return found.select("id", F.when(there, "complete").otherwise("unsupported").alias("status"), F.when(there, normalized(vector_col)).alias("vector"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``; a local folder only where that is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lakeleaf-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lakeleaf/{name}-{uuid.uuid4().hex}"

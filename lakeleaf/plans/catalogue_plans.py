@@ -1,5 +1,7 @@
 """Catalogue, policy and derivative queries."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from lakeleaf.operators import catalogue as C
@@ -324,3 +326,44 @@ def _(t):
 
 
 QUERIES, ORACLE_SQL = P.queries, P.sql
+
+
+@P.add("read_receipts", _REV + " SELECT acquisition_id, source_id, row_number() OVER (ORDER BY acquisition_id) AS rank FROM a WHERE url = 'https://example.com/u/3'")
+def _(t):
+    return C.ordered_receipts(C.register(t.acquisitions()), hashlib.sha256(b"https://example.com/u/3").hexdigest()).select("acquisition_id", "source_id", "rank")
+
+
+@P.add("durable_job", """WITH e AS (SELECT user_id AS job, count(*) FILTER (event_type = 'view') AS generation FROM events GROUP BY 1)
+ SELECT job, CASE job % 4 WHEN 2 THEN 'completed' WHEN 3 THEN 'cancelled' ELSE 'running' END AS state, generation FROM e""")
+def _(t):
+    from lakeleaf.streaming import journal as J
+
+    state = F.element_at(F.array(*map(F.lit, ("queued", "paused", "completed", "cancelled"))), (F.col("job") % 4).cast("int") + 1)
+    states = t.events.select(F.col("user_id").alias("job")).distinct().withColumn("state", state)
+    chain = J.numbered(t.events.where("event_type = 'view'"), "user_id", ["event_id"]).select(F.col("user_id").alias("archive_id"), F.col("sequence").alias("generation"), (F.col("sequence") - 1).alias("expected"), (F.col("sequence") * 10).alias("prefix_bytes"))
+    return C.resumed(states, J.checkpoint_chain(chain).withColumnRenamed("archive_id", "job"))
+
+
+@P.add("udf_embed", "SELECT doc_id AS id, CASE WHEN vec_id IS NULL THEN 'unsupported' ELSE 'complete' END AS status, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) * 0 + 1, 6) AS norm FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def _(t):
+    from lakeleaf.operators.retrieval import embedded
+
+    norm = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6)
+    return embedded(t.documents, t.embeddings).select("id", "status", norm.alias("norm"))
+
+
+@P.add("entity_decode", """SELECT event_id, '<b> ' || chr(CAST(event_id % 2000 + 32 AS INTEGER)) || chr(CAST(event_id % 700 + 128512 - 690 AS INTEGER)) || ' &bad; ' || chr(65533) || chr(65533) || '&lt;' AS text FROM events""")
+def _(t):
+    code = F.concat(F.lit("&lt;b&GT; &#"), (F.col("event_id") % 2000 + 32).cast("string"), F.lit(";&#x"), F.hex(F.col("event_id") % 700 + 128512 - 690), F.lit("; &bad; &#0;&#x110000;&amp;lt;"))
+    return t.events.select("event_id", X.entity_decode(code).alias("text"))
+
+
+@P.add("udf_callbacks", "SELECT 'audit' AS event, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed FROM events")
+def _(t):
+    from lakeleaf.engine import observed
+
+    told = []
+    rows, tell = observed(t.events, told.append, n=F.count("*"), failed=F.count_if(F.col("event_type") == "error"))
+    rows.write.format("noop").mode("overwrite").save()
+    tell()
+    return t.spark.createDataFrame([("audit", told[0]["n"], told[0]["failed"])], "event string, n long, failed long")
