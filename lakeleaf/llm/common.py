@@ -14,9 +14,11 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where that is unset and Spark runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lakeleaf-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -25,7 +25,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_and_read(_table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # a chunk or payload that doesn't have its digest ends the query instead of passing unseen
+    digest = F.when(F.col("error").isNull(), F.col("payload_digest")).otherwise(F.raise_error(F.col("error")))
+    return out.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
