@@ -1,8 +1,8 @@
 """Writers: containers, index lines, receipts, exports, streaming segments.
 
-Tables go through Spark's own committers. Containers and ZIP files are byte formats without a Spark writer:
-their bytes are made as rows on the executors and laid down in order on a mounted path by the driver, one row at
-a time.
+Tables go through Spark's own committers. Containers, indexes and exported folders are byte formats without a Spark writer:
+tasks write them straight to the target (a path or address that all executors reach), each file under a name of its own that is moved
+into place when it is whole, so a task that runs again or twice leaves the same files. Only a ZIP file has one writer, the driver.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 import zipfile
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeleaf.operators.archive import CDX_HEADER, cdx_lines, deduplicated, export_paths
+from lakeleaf.operators.tables import kept
 
 DROPPED = ("content-encoding", "transfer-encoding", "content-length")
 
@@ -56,37 +59,46 @@ def container_rows(resources: DataFrame, dedup: bool = True) -> DataFrame:
     return rows.select("file", "seq", "url", "ts", "mime", "status", "digest", "is_revisit", "headers", "body", "refers_to", "refers_uri").mapInArrow(run, schema)
 
 
+def _target(folder: str):
+    """(file system, path below it) of a folder given as a path or an address."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
+
+
+def _put(store, path: str, pieces) -> int:
+    """Write a whole file under a name of its own, then move it into place; returns its size."""
+    part, size = f"{path}.{uuid.uuid4().hex}.part", 0
+    with store.open_output_stream(part, compression=None) as out:
+        for data in pieces:
+            out.write(data)
+            size += len(data)
+    store.move(part, path)
+    return size
+
+
+def _laid_down(rows: DataFrame, folder: str, head: bytes = b"") -> list[str]:
+    """Files from rows (file, seq, data): each by one task, in the order of seq, streaming; returns their names (a row a file reaches the driver)."""
+
+    def run(batches):
+        store, base = _target(folder)
+        store.create_dir(base, recursive=True)
+        stream = ((f, d) for b in batches for f, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for name, mine in groupby(stream, lambda r: r[0]):
+            size = _put(store, f"{base}/{name}", chain([head] if head else [], (d for _, d in mine)))
+            yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size]})
+
+    ordered = rows.repartition("file").sortWithinPartitions("file", "seq").select("file", "data")
+    return sorted(r.file for r in ordered.mapInArrow(run, "file string, bytes long").collect())
+
+
 def write_containers(rows: DataFrame, folder: str) -> list[str]:
-    """Lay container rows down as files with their index beside them; returns the paths. Rows stream through the driver in order."""
-    os.makedirs(folder, exist_ok=True)
-    done, name, out = [], None, None
-    try:
-        for r in rows.orderBy("file", "seq").select("file", "data").toLocalIterator():
-            if r.file != name:
-                if out:
-                    out.close()
-                name = r.file
-                done.append(os.path.join(folder, name))
-                out = open(done[-1] + ".part", "wb")
-            out.write(r.data)
-    finally:
-        if out:
-            out.close()
-    for path in done:
-        os.replace(path + ".part", path)
+    """Lay container rows down as files with their index beside them; returns the paths of the containers."""
+    names = _laid_down(rows.select("file", "seq", "data"), folder)
     index = cdx_lines(rows.withColumn("ts", F.to_timestamp("ts")))
-    name, out = None, None
-    for r in index.orderBy("file", "seq").select("file", "line").toLocalIterator():
-        if r.file != name:
-            if out:
-                out.close()
-            name = r.file
-            out = open(os.path.join(folder, name.replace(".warc", ".cdx")), "w", encoding="utf-8")
-            out.write(CDX_HEADER + "\n")
-        out.write(r.line + "\n")
-    if out:
-        out.close()
-    return done
+    lines = index.select(F.replace("file", F.lit(".warc"), F.lit(".cdx")).alias("file"), "seq", F.concat("line", F.lit("\n")).cast("binary").alias("data"))
+    _laid_down(lines, folder, (CDX_HEADER + "\n").encode())
+    return [os.path.join(folder, n) for n in names]
 
 
 def receipt(outcomes: DataFrame, limitations: list[dict], archives: dict) -> str:
@@ -99,22 +111,28 @@ def receipt(outcomes: DataFrame, limitations: list[dict], archives: dict) -> str
 
 
 def export_directory(records: DataFrame, folder: str, by_host: bool = False) -> list[dict]:
-    """Write (url, payload) rows below a folder by safe path, in order of address; two addresses on one path raise unless hosts tell them apart."""
-    manifest = []
-    taken: set[str] = set()
-    for r in export_paths(records, by_host).orderBy("url").select("url", "payload", "path").toLocalIterator():
-        if r.path is None:
-            raise ValueError(f"unsafe path of {r.url}")
-        if r.path in taken:
-            raise ValueError(f"two resources at {r.path}")
-        taken.add(r.path)
-        target = os.path.join(folder, r.path)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(target, "wb") as f:
-            f.write(r.payload)
-        manifest.append({"url": r.url, "path": r.path, "sha256": hashlib.sha256(r.payload).hexdigest(), "bytes": len(r.payload)})
-    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
-        f.write(json.dumps(manifest, sort_keys=True, indent=2) + "\n")
+    """Write (url, payload) rows below a folder by safe path; two addresses on one path raise unless hosts tell them apart. The manifest, in order of
+    address, is made of what the tasks wrote."""
+    rows = export_paths(records, by_host).select("url", "payload", "path")
+    bad = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("url").alias("url")).where("path is null or n > 1").orderBy("url").first()
+    if bad:
+        raise ValueError(f"unsafe path of {bad.url}" if bad.path is None else f"two resources at {bad.path}")
+
+    def run(batches):
+        store, base = _target(folder)
+        for b in batches:
+            out = []
+            for url, payload, path in zip(*(c.to_pylist() for c in b.columns)):
+                target = f"{base}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                out.append({"url": url, "path": path, "sha256": hashlib.sha256(payload).hexdigest(), "bytes": _put(store, target, [payload])})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("url", pa.string()), ("path", pa.string()), ("sha256", pa.string()), ("bytes", pa.int64())]))
+
+    written = kept(rows.mapInArrow(run, "url string, path string, sha256 string, bytes long"), "exported")
+    manifest = [r.asDict() for r in written.orderBy("url").toLocalIterator()]
+    store, base = _target(folder)
+    store.create_dir(base, recursive=True)
+    _put(store, f"{base}/manifest.json", [(json.dumps(manifest, sort_keys=True, indent=2) + "\n").encode()])
     return manifest
 
 
