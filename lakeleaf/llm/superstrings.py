@@ -117,7 +117,7 @@ class Packer:
             if isinstance(text, tuple):
                 text = text[0]
             for p in places:
-                by.setdefault(key % n, []).append((key // n & 0xFFFF, mark, units, doc, h, p, text))
+                by.setdefault(key % n, []).append((key // n & 0xFFF, mark, units, doc, h, p, text))
         rows = [(labels[b], STRINGS, pack_strings(x, press)) for b, x in by.items()]
         for lo in range(0, len(self.spans), 50_000):
             self.turn += 1
@@ -132,10 +132,10 @@ COLUMNS = (np.uint16, np.uint8, np.int32, np.int64, np.int64, np.int64, np.int32
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     if not dictionary:
-        return zstandard.ZstdCompressor(level=4)
+        return zstandard.ZstdCompressor(level=6)
     data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(level=4)
-    return zstandard.ZstdCompressor(level=4, dict_data=data)
+    data.precompute_compress(level=6)
+    return zstandard.ZstdCompressor(level=6, dict_data=data)
 
 
 def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
