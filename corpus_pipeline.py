@@ -3,6 +3,12 @@
 Language ID drops documents that it rejects; SimHash keeps one document of each near-duplicate group;
 decontamination drops documents that hold a benchmark item; the secret scan masks what it finds; packing lays
 all that is left into sequences.
+
+Defined cases, stage by stage: null texts and texts without a letter are no language and go first, so no later stage
+meets a null text; a null or repeated doc_id is a row like any other (of rows that repeat a doc_id one stays, since they are one document to
+near-dedup; rows of null doc_id stay unless their texts are near); ties between near duplicates go to the smallest doc_id; columns
+beyond those of documents pass through under any name until packing; without labels nothing is learned and every row goes; an empty
+table gives no row.
 """
 
 from __future__ import annotations
