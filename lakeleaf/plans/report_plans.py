@@ -358,9 +358,10 @@ def _(t):
     return A.type_counts(_container(t)).select("records", "response", "revisit", F.col("corrupt").cast("int").alias("corrupt"), "passed")
 
 
-@P.add("agg_payload_verify", "SELECT count(*) AS bad FROM documents WHERE false")
+@P.add("agg_payload_verify", "WITH r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE text IS NOT NULL) SELECT 'https://example.com/' || doc_id AS target_uri FROM r WHERE doc_id = first AND doc_id % 7 = 3")
 def _(t):
-    return A.payload_mismatches(_container(t)).agg(F.count("*").alias("bad"))
+    rows = _container(t)  # every seventh payload is damaged; damaged revisits do not count
+    return A.payload_mismatches(rows.withColumn("payload_ok", F.col("payload_ok") & (F.col("offset") % 7 != 3))).select("target_uri")
 
 
 @P.add("agg_archive_digest", "SELECT sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents WHERE text IS NOT NULL")
@@ -505,16 +506,16 @@ def _(t):
     return rows.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@P.add("css_urls", "SELECT page_id, 1 AS n FROM pages")
+@P.add("css_urls", f"WITH p AS ({PAGES}) SELECT page_id, scheme || '://' || host || unnest(['/i/' || page_id || '.png', '/s' || (page_id % 5) || '.css', '/q(' || page_id || ').gif']) AS url FROM p")
 def _(t):
-    css = F.concat(F.lit("/* url(no) */ a{background:url('/i/"), F.col("page_id").cast("string"), F.lit(".png')} b{content:\"url(no)\"}"))
-    return t.pages.select("page_id", F.size(D.links(css, F.lit("text/css"), F.col("url"))["resources"]).alias("n"))
+    css = F.concat(F.lit("/* url(no) */ a{background:url('/i/"), F.col("page_id").cast("string"), F.lit(".png')} b{content:\"url(no)\"} @import \"/s"), (F.col("page_id") % 5).cast("string"), F.lit(".css\"; c{background:url(/q\\28 "), F.col("page_id").cast("string"), F.lit("\\29.gif)}"))
+    return t.pages.select("page_id", F.explode(D.links(css, F.lit("text/css"), F.col("url"))["resources"]).alias("r")).select("page_id", F.col("r.url").alias("url"))
 
 
-@P.add("srcset_parse", "SELECT page_id, 2 AS n FROM pages")
+@P.add("srcset_parse", f"WITH p AS ({PAGES}) SELECT page_id, scheme || '://' || host || unnest(['/a' || page_id || '.png', '/b' || (page_id % 3) || '.png']) AS url, 'asset' AS kind FROM p")
 def _(t):
-    html = F.concat(F.lit('<img srcset="/a'), F.col("page_id").cast("string"), F.lit('.png 1x, /b.png 2x, data:image/png;base64,AA== 3x">'))
-    return t.pages.select("page_id", F.size(D.links(html, F.lit("text/html"), F.col("url"))["resources"]).alias("n"))
+    html = F.concat(F.lit('<img srcset="/a'), F.col("page_id").cast("string"), F.lit(".png 1x, /b"), (F.col("page_id") % 3).cast("string"), F.lit('.png 2x, data:image/png;base64,AA== 3x">'))
+    return t.pages.select("page_id", F.explode(D.links(html, F.lit("text/html"), F.col("url"))["resources"]).alias("r")).select("page_id", "r.url", "r.kind")
 
 
 @P.add("html_visible_text")
@@ -541,10 +542,10 @@ def _(t):
     return t.documents.select((F.col("doc_id") % 3).alias("k"), F.explode(D.sitemap(xml, F.lit("https://example.com/x.xml"), ["example.com"])["entries"]).alias("e")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@P.add("parse_robots", "SELECT user_id, 2 AS rules FROM events")
+@P.add("parse_robots", "SELECT event_id, ['/x', '/u' || user_id] AS rules FROM events")
 def _(t):
     text = F.concat(F.lit("User-agent: *\nDisallow: /x # no\nDisallow: /u"), F.col("user_id").cast("string"), F.lit("\nUser-agent: other\nDisallow: /\n"))
-    return t.events.select("user_id", F.size(D.robots_rules_col(text)).alias("rules"))
+    return t.events.select("event_id", D.robots_rules_col(text).alias("rules"))
 
 
 @P.add("filter_robots", f"WITH p AS ({PAGES}) SELECT page_id, starts_with(path, '/en/') OR (starts_with(path, '/') AND contains(path || CASE WHEN query = '' THEN '' ELSE '?' || query END, 'ref=')) AS denied FROM p")

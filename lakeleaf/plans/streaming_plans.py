@@ -259,9 +259,9 @@ def _(t):
     return t.events.select("event_id", (V.checkpoint_state(F.when(F.col("event_id") % 2 == 0, '{"cookie":1}').otherwise('{"segments":[{"sha256":"0"}]}')).isNull()).alias("good"))
 
 
-@P.add("stream_frontier_checkpoint", "SELECT event_id, true AS good FROM events")
+@P.add("stream_frontier_checkpoint", "SELECT event_id, user_id % 3 <> 0 AS good FROM events")
 def _(t):
-    state = F.to_json(F.struct(F.array(F.struct(F.col("props").alias("url"), F.col("user_id").alias("depth"))).alias("queue"), F.array("event_type").alias("visited")))
+    state = F.to_json(F.struct(F.array(F.struct(F.col("props").alias("url"), F.col("user_id").alias("depth"), F.when(F.col("user_id") % 3 == 0, "x").alias("api_key"))).alias("queue"), F.array("event_type").alias("visited")))
     return t.events.select("event_id", V.checkpoint_state(state).isNull().alias("good"))
 
 
@@ -357,20 +357,20 @@ def _(t):
     return warc_files.inputs(t.spark, path).agg(F.count("*").alias("inputs"))
 
 
-@P.add("sink_ledger_atomic", "SELECT count(*) AS rows FROM events")
+@P.add("sink_ledger_atomic", "SELECT event_type, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS ids, max(props) AS last FROM events GROUP BY event_type")
 def _(t):
     path = _folder(t, "ledger")
     for _ in range(2):
         t.events.write.mode("overwrite").parquet(path)
-    return t.spark.read.parquet(path).agg(F.count("*").alias("rows"))
+    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"), F.max("props").alias("last"))
 
 
-@P.add("sink_export_zip", "SELECT count(*) AS members FROM nation")
+@P.add("sink_export_zip", "SELECT count(*) AS members FROM customer")
 def _(t):
     import os
     import tempfile
 
-    rows = t.nation.select(F.concat(F.lit("https://e.example/n/"), F.col("n_nationkey").cast("string")).alias("url"), F.col("n_name").cast("binary").alias("payload"))
+    rows = t.customer.select(F.concat(F.lit("https://e.example/c/"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_name").cast("binary").alias("payload"))
     with tempfile.TemporaryDirectory() as folder:  # a driver-side file format
         n = sinks.export_zip(rows, os.path.join(folder, "x.zip"))
     return t.spark.createDataFrame([(n,)], "members long")
