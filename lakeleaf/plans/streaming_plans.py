@@ -261,7 +261,7 @@ def _(t):
 
 @P.add("stream_frontier_checkpoint", "SELECT event_id, user_id % 3 <> 0 AS good FROM events")
 def _(t):
-    state = F.to_json(F.struct(F.array(F.struct(F.col("props").alias("url"), F.col("user_id").alias("depth"), F.when(F.col("user_id") % 3 == 0, "x").alias("api_key"))).alias("queue"), F.array("event_type").alias("visited")))
+    state = F.to_json(F.struct(F.array(F.struct(F.col("props").alias("url"), F.col("user_id").alias("depth"), F.when(F.col("user_id") % 3 == 0, "x").alias("password"))).alias("queue"), F.array("event_type").alias("visited")))
     return t.events.select("event_id", V.checkpoint_state(state).isNull().alias("good"))
 
 
