@@ -153,9 +153,16 @@ def history(revs: DataFrame, heads: DataFrame, url: str) -> DataFrame:
 
 
 def duplicates(revs: DataFrame, by: str = "content_hash", key: str = "revision_id") -> DataFrame:
-    """Other rows with the same content, for each row: (key, other)."""
-    a, b = revs.select(by, F.col(key).alias("key")), revs.select(by, F.col(key).alias("other"))
-    return a.join(b, by).where("key <> other").select("key", "other")
+    """(key, class, members): every row that shares its content, with the least key of its class and the class's size; copies aren't expanded into pairs.
+    Null keys are members, null contents are none."""
+    classes = revs.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(key).alias("class"), F.count("*").alias("members")).where("members > 1")
+    return revs.join(classes, by).select(F.col(key).alias("key"), "class", "members")
+
+
+def duplicates_of(revs: DataFrame, wanted: DataFrame, by: str = "content_hash", key: str = "revision_id") -> DataFrame:
+    """(key, other): for each stated key the other rows with the same content."""
+    asked = revs.join(wanted.select(key), key, "left_semi").select(by, F.col(key).alias("key"))
+    return asked.join(revs.select(by, F.col(key).alias("other")), by).where("key <> other").select("key", "other")
 
 
 def compared(revs: DataFrame, before: str, after: str) -> DataFrame:

@@ -148,10 +148,17 @@ def _(t):
     return C.compared(revs, pick("click"), pick("view")).select("relation", "size_delta")
 
 
-@P.add("join_duplicates", "WITH r AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL) SELECT a.doc_id, b.doc_id AS other_id FROM r a JOIN r b ON a.h = b.h AND a.doc_id <> b.doc_id")
+@P.add("join_duplicates", "WITH r AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class, count(*) OVER (PARTITION BY h) AS members FROM r QUALIFY members > 1")
 def _(t):
     rows = t.documents.where("text is not null").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    return C.duplicates(rows, key="doc_id").select(F.col("key").alias("doc_id"), F.col("other").alias("other_id"))
+    return C.duplicates(rows, key="doc_id").withColumnRenamed("key", "doc_id")
+
+
+@P.add("join_duplicates_of", "WITH r AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL) SELECT a.doc_id, b.doc_id AS other_id FROM r a JOIN r b ON a.h = b.h AND a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0")
+def _(t):
+    """The surveyed search for the stated documents, those whose number is divisible by 100."""
+    rows = t.documents.where("text is not null").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return C.duplicates_of(rows, rows.where("doc_id % 100 = 0"), key="doc_id").select(F.col("key").alias("doc_id"), F.col("other").alias("other_id"))
 
 
 # --- eligibility ------------------------------------------------------------------

@@ -233,6 +233,43 @@ def test_findings_count_a_report_once(spark):
     assert (r.occurrences, r.report_hashes, r.recurrence) == (5, ["h0", "h1"], True)
 
 
+def test_sorted_json(spark):
+    rows = spark.createDataFrame([('{"b": 1, "a": [2, {"d": null, "c": "\u00e9"}]}',), ("[3, 1]",), ("{",)], "t string")
+    assert [r[0] for r in rows.select(X.sorted_json("t")["value"]).collect()][:2] == ['{"a":[2,{"c":"\\u00e9","d":null}],"b":1}', "[3,1]"]
+
+
+def test_permission():
+    c = pacing.Config(rpm=30, burst=5)
+    p, waits = pacing.Pace(tokens=5.0), []
+    for _ in range(7):
+        p, wait = pacing.permission(p, "h", 0.0, 100.0, c)
+        waits.append(wait)
+    assert waits == [100.0] * 5 + [2100.0, 4100.0] and p.tokens == 0 and p.refilled_ms == 4000
+    p, wait = pacing.permission(pacing.Pace(circuit="TRIPPED", tripped_ms=0.0), "h", 20_000.0, 100.0, c)
+    assert (p.circuit, wait) == ("HALF_OPEN", 40_100.0)
+    p, wait = pacing.permission(pacing.Pace(cooldowns={"h": 5000.0, "g": 9000.0}), "h", 1000.0, 100.0, c)
+    assert (wait, p.cooldowns) == (4100.0, {"g": 9000.0})
+    p, wait = pacing.permission(pacing.Pace(ewma=200.0, baseline=100.0, backoff=150.0), None, 0.0, 100.0, c)
+    assert (p.circuit, wait) == ("THROTTLED", 200.0)
+
+
+def test_markup_events():
+    from lakeleaf.functions import markup
+
+    seen = []
+    markup.read("<p a=1>x<br/><![if IE]>y<![endif]></p", lambda *e: seen.append(e[:2]), strict=True)
+    assert seen[:5] == [("open", "p"), ("text", "x"), ("open", "br"), ("close", "br"), ("text", "y")]
+    with pytest.raises(markup.MalformedMarkup):
+        markup.read("<![what[x]]>", print, strict=True)
+    markup.read("<![what[x]]>", print)
+
+
+def test_entity_decode(spark):
+    cases = {"&amp;lt; &LT;": "&lt; <", "&#65;&#x1F642;&#xe9;": "A\U0001f642é", "&#0;&#xD800;&#99999999999;": "\ufffd" * 3, "&nbsp; & &#;": "&nbsp; & &#;", "": ""}
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", X.entity_decode("t").alias("d")).collect()
+    assert {r.t: r.d for r in rows} == {**cases, None: None}
+
+
 def test_pacing():
     c, p = pacing.Config(), pacing.Pace()
     for x in [5.0] + [300.0] * 9:
