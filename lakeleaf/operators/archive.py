@@ -13,12 +13,12 @@ CDX_HEADER = " CDX N b a m s k r M S V g"
 REVISIT_ABOVE = 512
 
 
-def deduplicated(records: DataFrame, body: str = "body", seq: str = "seq", dedup: bool = True) -> DataFrame:
-    """Records with digest, is_revisit and refers_to (seq of the first record of that payload). A minimum per digest joined back; no window over a hot digest."""
+def deduplicated(records: DataFrame, body: str = "body", seq: str = "seq", dedup: bool = True, above: int = REVISIT_ABOVE) -> DataFrame:
+    """Records with digest, is_revisit and refers_to (seq of the first record of that payload); payloads of ``above`` bytes or less are never revisits. A minimum per digest joined back; no window over a hot digest."""
     rows = records.withColumn("digest", F.sha2(F.col(body), 256)).withColumn("size", F.octet_length(body).cast("long"))
     firsts = rows.groupBy("digest").agg(F.min(seq).alias("_first"))
     out = rows.join(firsts, "digest")
-    again = F.lit(dedup) & (F.col(seq) > F.col("_first")) & (F.col("size") > REVISIT_ABOVE)
+    again = F.lit(dedup) & (F.col(seq) > F.col("_first")) & (F.col("size") > above)
     return out.withColumn("is_revisit", again).withColumn("refers_to", F.when(again, F.col("_first"))).drop("_first")
 
 

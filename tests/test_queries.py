@@ -61,3 +61,14 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
     assert got == want
+
+
+def test_short_copies_are_not_verified(spark, tmp_path):
+    """Damaged later copies of at most 512 bytes, empty ones too, are revisits to the twin of agg_payload_verify."""
+    texts = {1: "short", 3: "", 10: "short", 17: "", 24: "x" * 600, 31: "x" * 600, 38: "y" * 512, 45: "y" * 512, 52: None, 59: "other"}
+    spark.createDataFrame([(i, x, "s") for i, x in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.target_uri for r in registry.queries()["agg_payload_verify"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0] for r in con.execute(registry.oracle_sql()["agg_payload_verify"]).fetchall()}
+    assert got == want == {f"https://example.com/{i}" for i in (3, 24, 38, 59)}
