@@ -168,7 +168,8 @@ def judge_bytes(window: int):
 
 def byte_spans(docs: DataFrame, window: int = 200, gram: int = 32) -> DataFrame:
     """(_id, _h, start, end) in UTF-8 bytes, for everything to be removed."""
-    return repeated_spans(docs, split_bytes(window, gram), judge_bytes(window), keep_all_of_least=False)
+    # whole keys: suffixes of strings that share no minimiser are never sorted together
+    return repeated_spans(docs, split_bytes(window, gram), judge_bytes(window), keep_all_of_least=False, key_bits=32)
 
 
 def kept_bytes(docs: DataFrame, window: int = 200, gram: int = 32) -> DataFrame:

@@ -81,6 +81,7 @@ class Packer:
     buckets: np.ndarray  # their labels
     keep_all_of_least: bool  # True: keep every place of the smallest doc_id; False: keep one place and a repeat mark
     dictionary: bytes = b""
+    key_bits: int = 12  # of a string's key that travel; strings of other keys that agree in them are judged together
     strings: dict = field(default_factory=dict)
     spans: list = field(default_factory=list)
     size: int = 0
@@ -112,12 +113,12 @@ class Packer:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
-        n, labels, press = len(self.buckets), self.buckets.tolist(), compressor(self.dictionary)
+        n, labels, press, kept = len(self.buckets), self.buckets.tolist(), compressor(self.dictionary), (1 << self.key_bits) - 1
         for text, (key, mark, units, doc, h, places) in self.strings.items():
             if isinstance(text, tuple):
                 text = text[0]
             for p in places:
-                by.setdefault(key % n, []).append((key // n & 0xFFF, mark, units, doc, h, p, text))
+                by.setdefault(key % n, []).append((key // n & kept, mark, units, doc, h, p, text))
         rows = [(labels[b], STRINGS, pack_strings(x, press)) for b, x in by.items()]
         for lo in range(0, len(self.spans), 50_000):
             self.turn += 1
@@ -127,7 +128,7 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 256]), OUT.types)], schema=OUT)
 
 
-COLUMNS = (np.uint16, np.uint8, np.int32, np.int64, np.int64, np.int64, np.int32)
+COLUMNS = (np.uint32, np.uint8, np.int32, np.int64, np.int64, np.int64, np.int32)
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -239,17 +240,18 @@ def bucket_labels(spark, partitions: int, each: int = 16) -> np.ndarray:
     return np.array([x[k] for k in range(each) for _, x in sorted(found.items())], np.int32)
 
 
-def repeated_spans(docs: DataFrame, split: Callable, judge: Callable, keep_all_of_least: bool) -> DataFrame:
+def repeated_spans(docs: DataFrame, split: Callable, judge: Callable, keep_all_of_least: bool, key_bits: int = 12) -> DataFrame:
     """(_id, _h, start, end): spans of repeated windows.
 
     split(data, offsets, rank) yields (document number, start, units, key, string, mark), key being the hash of the
     minimiser (under ``rank`` its rank); judge(blobs, expand) yields span arrays for the packed strings of one bucket.
+    ``key_bits``: how much of the key goes with a string; fewer make larger groups to be judged, never other spans.
     """
     buckets = bucket_labels(docs.sparkSession, shuffle_partitions(docs.sparkSession))
     rank, dictionary = ranking(docs, split)
 
     def cut(batches):
-        packer = Packer(buckets, keep_all_of_least, dictionary)
+        packer = Packer(buckets, keep_all_of_least, dictionary, key_bits)
         for b in batches:
             ids, hs = b.column(0).to_pylist(), b.column(1).to_pylist()
             data, at = byte_slices(b.column(2))
