@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. The dictionary of the benchmark's terms (exact 64-bit hashes), and in how many of all documents each occurs.
-2. A latent space of low rank: TF-IDF passages of a sample of about ``sample`` whole documents, and up to ``2 * sample`` items,
-   are decomposed by a distributed randomised SVD: every round multiplies the passage matrix and its transpose
-   on the executors and sums partial products by term block; only the small factor is orthogonalised on the
+1. The dictionary of the benchmark's terms (exact 64-bit hashes). One scan counts in how many of all documents each occurs, and
+   writes the terms of every passage of every document.
+2. A latent space of low rank: the TF-IDF passages of all documents and all items
+   are decomposed by a distributed randomised SVD in one pass: the passage matrix and its transpose are multiplied
+   on the executors and partial products summed by term block; only the small factor is orthogonalised on the
    driver. Texts are folded in, each dimension damped by the root of its singular value (and one passage more, so that what less than
    one passage supports isn't blown up); passages that repeat are one row. The matrix has one column a term, ``width`` at
    most (terms are hashed to columns beyond), so no factor grows with the benchmark.
@@ -42,6 +43,8 @@ UNIT = 4
 LEVELS = 12
 #: Bits of an item's map of terms; a bound of the words that a window shares with it.
 MAP = 1024
+#: Products with the whole passage matrix before the last one; more of them turn the space to the commonest topics, and find no more (see README).
+ROUNDS = 0
 
 
 def _table() -> np.ndarray:
@@ -111,10 +114,12 @@ class Dictionary:
         return out
 
 
-def document_frequencies(docs: DataFrame, known: Dictionary) -> tuple[np.ndarray, int]:
-    """How many documents hold each term of the dictionary, and how many documents there are."""
+def scanned(docs: DataFrame, known: Dictionary, words: int) -> DataFrame:
+    """One scan of all documents, written: (slot, n) says how many documents of a task hold a term of the dictionary, and for slot -1 how many
+    there are; (passage) is the terms' slots, sorted, of each run of ``words`` words that has any."""
+    kind = slot_type(known)
 
-    def count(batches):
+    def scan(batches):
         total, n = np.zeros(len(known), np.int64), 0
         for b in batches:
             n += b.num_rows
@@ -122,30 +127,110 @@ def document_frequencies(docs: DataFrame, known: Dictionary) -> tuple[np.ndarray
                 h, doc, *_ = hashed_terms(data, offsets)
                 slot = known.slots(h)
                 hit = np.flatnonzero(slot >= 0)
-                pair = np.sort(doc[hit] * len(known) + slot[hit])
-                if len(pair):
-                    total += np.bincount(pair[np.concatenate(([True], pair[1:] != pair[:-1]))] % len(known), minlength=len(known))
+                if not len(hit):
+                    continue
+                of, slot = doc[hit], slot[hit].astype(np.int64)
+                pair = np.sort(of * len(known) + slot)
+                total += np.bincount(pair[np.concatenate(([True], pair[1:] != pair[:-1]))] % len(known), minlength=len(known))
+                size = np.bincount(doc, minlength=len(offsets) - 1)
+                many = -(-size // words)
+                part = (np.cumsum(many) - many)[of] + (hit - (np.cumsum(size) - size)[of]) // words
+                key = np.sort(part * len(known) + slot)
+                part = key // len(known)
+                edges = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(key))
+                flat = (key % len(known)).astype(kind)
+                passage = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+                for lo in range(0, len(passage), 10_000):
+                    some = passage.slice(lo, 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), some], names=["slot", "n", "passage"])
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n)), pa.nulls(len(some) + 1, pa.binary())], names=["slot", "n", "passage"])
+
+    return written(docs.select(F.lower(F.coalesce("text", F.lit("")))).mapInArrow(scan, "slot long, n long, passage binary"), "scanned")
+
 
+def slot_type(known: Dictionary):
+    return np.uint16 if len(known) <= 1 << 16 else np.uint32
+
+
+def document_frequencies(scan: DataFrame, known: Dictionary) -> tuple[np.ndarray, int]:
+    """How many documents hold each term of the dictionary, and how many documents there are."""
     # at most a row for each term of the block reaches the driver
-    sums = docs.select(F.lower(F.coalesce("text", F.lit("")))).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = scan.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slot, n = sums["slot"].to_numpy(), sums["n"].to_numpy()
     out = np.zeros(len(known), np.int64)
     out[slot[slot >= 0]] = n[slot >= 0]
     return out, int(n[slot < 0].sum())
 
 
-def randomised_svd(rows: DataFrame, terms: int, rank: int, rounds: int = 2, seed: int = 3, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(V, squared singular values) of a sparse matrix given as rows (at array<int>, weight array<double>)."""
+def listed(b: pa.RecordBatch):
+    """Entries (row, column, weight) of rows (at array<int>, weight array<double>)."""
+    at, weight = b.column(0), b.column(1)
+    return np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy().astype(np.int64), weight.flatten().to_numpy()
+
+
+def passage_entries(known: Dictionary, idf: np.ndarray, columns: int):
+    """Entries of rows of sorted slots: TF-IDF by column, of length 1."""
+    kind = slot_type(known)
+
+    def entries(b):
+        c = b.column(0).cast(pa.large_binary())
+        offsets = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+        slot = np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).astype(np.int64)
+        key = np.repeat(np.arange(len(c)), np.diff(offsets) // np.dtype(kind).itemsize) * columns + slot % columns
+        weight = idf[slot]
+        if columns < len(known):
+            order = np.argsort(key, kind="stable")
+            key, weight = key[order], weight[order]
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        row, at, weight = key[head] // columns, key[head] % columns, np.add.reduceat(weight, head)
+        some = weight > 0
+        row, at, weight = row[some], at[some], weight[some]
+        return row, at, weight / np.sqrt(np.bincount(row, weight * weight, minlength=len(c)))[row]
+
+    return entries
+
+
+def add_product(z: np.ndarray, q: np.ndarray, common: np.ndarray, row: np.ndarray, at: np.ndarray, weight: np.ndarray, step: int = 1024) -> None:
+    """Add AᵀAq to z, for the entries of A by row. Columns in ``common`` are multiplied as a dense block, others entry by entry; both exactly."""
+    place = np.full(len(z), -1, np.int64)
+    place[common] = np.arange(len(common))
+    first = np.append(np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))), len(row)) if len(row) else np.zeros(1, np.int64)
+    dense = q[common]
+    for lo in range(0, len(first) - 1, step):
+        own = first[lo : lo + step + 1]
+        a, x = at[own[0] : own[-1]], weight[own[0] : own[-1]].astype(q.dtype)
+        r = np.repeat(np.arange(len(own) - 1), np.diff(own))
+        here = place[a] >= 0
+        block = np.zeros((len(own) - 1, len(common)), q.dtype)
+        block[r[here], place[a[here]]] = x[here]
+        p = block @ dense
+        a, x, r = a[~here], x[~here], r[~here]
+        if len(a):
+            g = q.take(a, axis=0)
+            g *= x[:, None]
+            head = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            p[r[head]] += np.add.reduceat(g, head, axis=0)
+            order = np.argsort(a, kind="stable")
+            a, g = a[order], p.take(r[order], axis=0)
+            g *= x[order, None]
+            head = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            z[a[head]] += np.add.reduceat(g, head, axis=0)
+        z[common] += block.T @ p
+
+
+def randomised_svd(rows: DataFrame, terms: int, rank: int, rounds: int = 2, seed: int = 3, block: int = 4096, entries=listed, common: np.ndarray | None = None, kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """(V, squared singular values) of a sparse matrix: ``entries`` takes them from a batch of ``rows``; ``common`` names columns that many rows have. Products are of type ``kind``, their sums of 64 bits.
+    ``rounds`` products find the range, and one more gives the factors (Nyström's way, which loses nothing of that product)."""
+    common = np.zeros(0, np.int64) if common is None else common
 
     def product(q: np.ndarray) -> np.ndarray:
+        near, shape = q.astype(kind), q.shape
+
         def part(batches):
-            z = np.zeros_like(q)
+            z = np.zeros(shape)
             for b in batches:
-                for at, weight in zip(b.column(0), b.column(1)):
-                    at, weight = at.values.to_numpy(), weight.values.to_numpy()
-                    z[at] += np.outer(weight, weight @ q[at])
+                add_product(z, near, common, *entries(b))
             lows = range(0, terms, block)
             yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array([z[lo : lo + block].tobytes() for lo in lows], pa.binary())], names=["lo", "part"])
 
@@ -155,18 +240,22 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, rounds: int = 2, seed
 
         # partial products are bounded by terms * rank; each is summed by term block
         got = rows.mapInArrow(part, "lo long, part binary").groupBy("lo").applyInArrow(add, "lo long, part binary").collect()
-        out = np.zeros_like(q)
+        out = np.zeros(shape)
         for r in got:
-            out[r.lo : r.lo + block] = np.frombuffer(bytes(r.part)).reshape(-1, q.shape[1])
+            out[r.lo : r.lo + block] = np.frombuffer(bytes(r.part)).reshape(-1, shape[1])
         return out
 
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, min(rank, terms))))[0]
     for _ in range(rounds):
         q = np.linalg.qr(product(q))[0]
     z = product(q)
-    values, turn = np.linalg.eigh(q.T @ z)
-    order = np.argsort(-values)
-    return q @ turn[:, order], np.maximum(values[order], 0)
+    # a shift of the size of rounding keeps the small core positive
+    shift = float(np.finfo(kind).eps * np.linalg.norm(z)) or 1e-30
+    z += shift * q
+    core = q.T @ z
+    size, turn = np.linalg.eigh((core + core.T) / 2)
+    basis, root, _ = np.linalg.svd(z @ turn / np.sqrt(np.maximum(size, shift)), full_matrices=False)
+    return basis, np.where(root * root > 4 * shift, root * root - shift, 0.0)
 
 
 def masks_of(a: list) -> dict:
@@ -338,44 +427,29 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / (np.linalg.norm(v) or 1.0)
 
 
-def latent_basis(docs: DataFrame, items: list[bytes], known: Dictionary, idf: np.ndarray, n: int, rank: int, sample: int, width: int) -> np.ndarray:
-    """Columns' latent vectors, each dimension damped by the root of its singular value: from passages of sampled documents and items."""
-    columns = min(width, len(known))
-    words = max(8, int(np.median([len(terms_of(t)) for t in items[:1000]])) * 5 // 4)
+def passage_words(items: list[bytes]) -> int:
+    """Words of a passage: a quarter more than the items' median."""
+    return max(8, int(np.median([len(terms_of(t)) for t in items])) * 5 // 4)
 
-    def rows_of(slots: np.ndarray):
-        slots = slots[slots >= 0]
-        at, where = np.unique(slots % columns, return_inverse=True)
-        w = np.bincount(where, idf[slots]) if len(at) else np.zeros(0)
-        return at.astype(np.int32), w / (np.sqrt((w * w).sum()) or 1.0)
 
-    def cut(batches):
-        for b in batches:
-            for _, data, offsets in chunked(b.column(0)):
-                h, doc, *_ = hashed_terms(data, offsets)
-                slot = known.slots(h)
-                inside = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                edge = np.flatnonzero(inside % words == 0)
-                found = [rows_of(slot[a:z]) for a, z in zip(edge, np.append(edge[1:], len(slot)))]
-                found = [x for x in found if len(x[0])]
-                for lo in range(0, len(found), 500):
-                    at, w = zip(*found[lo : lo + 500])
-                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float64()))], names=["at", "weight"])
-
-    spark = docs.sparkSession
-    every = max(1, n // sample)
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select(F.lower(F.coalesce("text", F.lit(""))))
-    own = [rows_of(known.slots(terms_of(t))) for t in items[:: max(1, len(items) // (2 * sample))]]
-    own = spark.createDataFrame([(a.tolist(), w.tolist()) for a, w in own if len(a)], "at array<int>, weight array<double>")
-    matrix = written(some.mapInArrow(cut, "at array<int>, weight array<double>").unionByName(own).distinct(), "passages")
-    basis, values = randomised_svd(matrix.coalesce(4), columns, min(rank + 8, columns))
+def latent_basis(scan: DataFrame, items: list[bytes], known: Dictionary, idf: np.ndarray, df: np.ndarray, rank: int, width: int) -> np.ndarray:
+    """Columns' latent vectors, each dimension damped by the root of its singular value: from the passages of all documents and all items."""
+    spark, columns = scan.sparkSession, min(width, len(known))
+    own = [(np.sort(known.slots(terms_of(t))).astype(slot_type(known)).tobytes(),) for t in items]
+    passages = scan.where("passage is not null").select("passage").unionByName(spark.createDataFrame(own, "passage binary"))
+    matrix = written(passages.distinct(), "passages")
+    held = np.bincount(np.arange(len(known)) % columns, df, minlength=columns)
+    common = np.sort(np.argsort(-held, kind="stable")[:512])
+    # a task's partial product has the size of the factor, so there is a task for each core, not for each file
+    rows = matrix.coalesce(max(1, spark.sparkContext.defaultParallelism))
+    basis, values = randomised_svd(rows, columns, min(rank + 8, columns), rounds=ROUNDS, entries=passage_entries(known, idf, columns), common=common, kind=np.float32)
     dropped(matrix)
     good = np.flatnonzero(values[:rank] > 1e-6 * values[0]) if values[0] > 0 else np.zeros(0, np.int64)
     return basis[:, good] / (values[good] + 1) ** 0.25
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, lcs: float = 0.6, lcs_answer: float = 0.45, answer: float = 0.8, cosine: float = 0.33, rank: int = 128, sample: int = 2000, width: int = 1 << 15, block: int = 1 << 16
+    docs: DataFrame, benchmark: DataFrame, lcs: float = 0.6, lcs_answer: float = 0.45, answer: float = 0.8, cosine: float = 0.33, rank: int = 128, width: int = 1 << 15, block: int = 1 << 16
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, cosine, lcs, answer, word_from, word_to): the best match of each item in each document that holds it."""
     spark = docs.sparkSession
@@ -389,9 +463,11 @@ def matches(
         if not mine:
             continue
         known = Dictionary(np.concatenate([terms_of(t) for _, t in mine]))
-        df, n = document_frequencies(docs, known)
+        scan = scanned(docs, known, passage_words([t for _, t in mine]))
+        df, n = document_frequencies(scan, known)
         idf = np.where(df > 0, np.log((n + 1) / (df + 1.0)) + 0.1, 0.0)  # what no document holds can't tell them apart
-        space = Space(mine, known, idf, latent_basis(docs, [t for _, t in mine], known, idf, n, rank, sample, width))
+        space = Space(mine, known, idf, latent_basis(scan, [t for _, t in mine], known, idf, df, rank, width))
+        dropped(scan)
         sent = spark.sparkContext.broadcast(space)  # bounded by block, width and rank
         part = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(_search(sent, lcs, lcs_answer, answer, cosine), MATCH)
         found = part if found is None else found.unionByName(part)

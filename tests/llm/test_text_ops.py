@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -563,6 +564,56 @@ def test_longest_common_subsequence():
         assert decontaminate.common_subsequence(a, b) == plain(a, b)
 
 
+@pytest.fixture(scope="module")
+def terse(spark):
+    """5000 documents of a few of the items' words each, many of them alike; the items; and how many different passages they have."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words, 1 + k % 5)) for k in range(5000)]
+    items = [" ".join(words[k : k + 30]) for k in (0, 5, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), len({tuple(sorted(t.split())) for t in texts + items})
+
+
+@pytest.fixture()
+def rows_decomposed(monkeypatch):
+    counts, svd = [], decontaminate.randomised_svd
+
+    def counted(rows, *args, **options):
+        counts.append(rows.count())
+        return svd(rows, *args, **options)
+
+    monkeypatch.setattr(decontaminate, "randomised_svd", counted)
+    return counts
+
+
+def test_latent_space_is_of_all_passages(terse, rows_decomposed):
+    docs, bench, passages = terse
+    assert decontaminate.matches(docs, bench).count() == 0
+    assert rows_decomposed == [passages]
+
+
+@pytest.mark.parametrize("columns", [30, 17])
+def test_product_of_passages(columns):
+    """Entries and products of packed passages against plain matrices, with hashed columns and columns taken as a dense block."""
+    rng = np.random.default_rng(columns)
+    known = decontaminate.Dictionary(np.arange(30, dtype=np.uint64))
+    idf = rng.random(30) * (np.arange(30) != 4)
+    slots = [np.sort(rng.integers(0, 30, n)) for n in rng.integers(1, 12, 50)] + [np.array([4, 4])]
+    plain = np.zeros((len(slots), columns))
+    for k, x in enumerate(slots):
+        np.add.at(plain[k], x % columns, idf[x])
+    norm = np.sqrt((plain * plain).sum(1, keepdims=True))
+    plain /= np.where(norm > 0, norm, 1)
+    q = rng.standard_normal((columns, 5))
+    batch = pa.RecordBatch.from_arrays([pa.array([x.astype(np.uint16).tobytes() for x in slots], pa.binary())], names=["passage"])
+    for common in ([], [0, 3, 16], range(columns)):
+        z = np.zeros_like(q)
+        for part in (batch.slice(0, 20), batch.slice(20)):
+            decontaminate.add_product(z, q, np.array(common, np.int64), *decontaminate.passage_entries(known, idf, columns)(part), step=7)
+        assert np.allclose(z, plain.T @ (plain @ q))
+
+
 def test_randomised_svd(spark):
     rng = np.random.default_rng(4)
     m = rng.random((30, 50)) * (rng.random((30, 50)) < 0.3)
