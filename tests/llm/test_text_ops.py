@@ -593,6 +593,16 @@ def test_latent_space_is_of_all_passages(terse, rows_decomposed):
     assert rows_decomposed == [passages]
 
 
+def test_pipelines_latent_space_is_of_all_passages(spark, terse, rows_decomposed, tmp_path):
+    import corpus_pipeline
+
+    docs, bench, passages = terse
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)["benchmark_decontamination"]
+    assert stage(spark, docs, str(tmp_path)).count() == docs.count()
+    assert rows_decomposed == [passages]
+
+
 @pytest.mark.parametrize("columns", [30, 17])
 def test_product_of_passages(columns):
     """Entries and products of packed passages against plain matrices, with hashed columns and columns taken as a dense block."""
