@@ -15,11 +15,11 @@ A fill task makes one window after another: a seed, then its best unused neighbo
 of the best neighbour left as closes the window; what is cut off stays in the index. A task's last window is
 cut into powers of two, so nothing is padded.
 
-Ids are those of a plain call of the ``tokenizers`` file. Text is tokenised by cached pieces; the vocabulary and merge order of
-that file are also given to ``tiktoken``, which merges rare words three times as fast. Of what it merges, one call in ``CHECKED``
-(by a checksum of its text) is repeated by ``tokenizers``, for good; a difference raises. A blank between two characters that are not white space always begins a
-new pre-token of the byte-level pattern, so pieces cut there have the same ids as in the whole text; texts
-where a piece would begin or end with white space, and texts that hold a special token, are encoded whole, by ``tokenizers``.
+Ids are those of a plain call of the ``tokenizers`` file. A blank between two characters that are not white space always begins a
+new pre-token of the byte-level pattern, so the words cut there have the same ids as in the whole text: texts are cut by Arrow, many at a time, and each word that a
+run of texts has is merged once. Texts with other blanks, and texts that hold a special token, are encoded one by one, those with a special token by ``tokenizers``.
+The vocabulary and merge order of that file are also given to ``tiktoken``, which merges rare words three times as fast. Of what it merges, one call in ``CHECKED``
+(by a checksum of its text) is repeated by ``tokenizers``, for good; a difference raises, and so does a word that doesn't begin with a token.
 
 Defined cases: null text is empty, its document is ``end_id`` alone; null and repeated doc_ids are documents
 like any other, told apart by a number of the written row, so that they too are dealt over fill tasks; an empty table gives no rows.
@@ -33,6 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,11 @@ def fast_twin(tokenizer):
 CHECKED = 64
 #: Longer pieces aren't cached, which bounds the cache's bytes by its entries.
 LONGEST = 64
+#: Words kept from run to run of texts.
+KEPT = 100_000
+#: What ``str.isspace`` takes for white space (more than the pattern's own), and texts that have a blank beside it or begin or end with it.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+UNCUT = rf"\A{WHITE}|{WHITE}\z|\x20{WHITE}|{WHITE}\x20"
 
 
 class Encoder:
@@ -88,6 +94,10 @@ class Encoder:
         self.entries = entries
         mark = self.tokenizer.encode("\r", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.words, self.word_ids = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary())
+        self.sizes = np.zeros(65536, np.int64)  # bytes of each token
+        for token, i in self.twin._mergeable_ranks.items() if self.twin else ():
+            self.sizes[i] = len(token)
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)  # without offsets
@@ -110,8 +120,6 @@ class Encoder:
         if first and (first[-1].isspace() or not rest):
             return self.whole(text)
         cache = self.cache
-        if len(self.heads) > 50_000:
-            self.heads.clear()
         found = list(map(cache.get, rest))
         if None in found:
             missing = list({p: None for p, ids in zip(rest, found) if ids is None})
@@ -124,12 +132,59 @@ class Encoder:
             if len(cache) < self.entries:
                 cache.update((p, x) for p, x in new.items() if len(p) <= LONGEST)
         if first:  # the text's first piece has no blank before it
-            ids = self.heads.get(first) or self.whole(first)
-            found.insert(0, ids)
-            if len(first) <= LONGEST:
-                self.heads[first] = ids
+            found.insert(0, self.head(first))
         return b"".join(found)
 
+    def head(self, first: str) -> bytes:
+        if len(self.heads) > 50_000:
+            self.heads.clear()
+        ids = self.heads.get(first) or self.whole(first)
+        if len(first) <= LONGEST:
+            self.heads[first] = ids
+        return ids
+
+    def merged(self, words: pa.Array, step: int = 512) -> list[pa.Array]:
+        """Ids of words that begin and end with no white space, each with a blank before it."""
+        out = []
+        for lo in range(0, len(words), step):
+            some = words.slice(lo, step)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), pa.scalar(" ", pa.large_string()))[0].as_py()
+            ids = self.ids(" " + text)
+            ends = np.cumsum(self.sizes[ids])
+            places = np.concatenate(([0], np.cumsum(pc.binary_length(some).to_numpy() + 1)))
+            bounds = np.searchsorted(ends, places, "right")
+            if not np.array_equal(ends[bounds[1:] - 1], places[1:]):
+                raise RuntimeError("a word must begin with a token")
+            out.append(pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(bounds * 2), pa.py_buffer(ids)]))
+        return out
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts one after another, and where each text's begin (one more entry than texts)."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        alone = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False) | (self.twin is None)
+        for x in self.special:
+            alone |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(pc.if_else(pa.array(alone), "", texts), " ")
+        at, flat = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten()
+        first = flat.take(pa.array(at[:-1])).to_pylist()
+        # words known before keep their places
+        coded = pa.concat_arrays([self.words, flat]).dictionary_encode()
+        del parts, flat
+        words, known = coded.dictionary, len(self.words)
+        word_ids = pa.concat_arrays([self.word_ids, *self.merged(words.slice(known))])
+        # a text's first piece has no blank before it; a text that isn't cut is such a piece
+        first = [self.head(x) if x else b"" for x in first]
+        for i in np.flatnonzero(alone).tolist():
+            first[i] = self.encode(texts[i].as_py())
+        place = coded.indices.to_numpy()[known:].copy()
+        place[at[:-1]] = len(words) + np.arange(len(first))
+        found = pa.concat_arrays([word_ids, pa.array(first, pa.large_binary())]).take(pa.array(place))
+        ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1]
+        if known < KEPT and len(words) > known:
+            short = pc.less_equal(pc.binary_length(words), LONGEST)
+            self.words, self.word_ids = (x.filter(short).slice(0, KEPT) for x in (words, word_ids))
+        return np.frombuffer(found.buffers()[2] or b"", np.uint16)[: int(ends[-1]) // 2], ends[at] // 2
+
 
 def worker_encoder(path: str) -> Encoder:
     """One encoder for each Python worker, kept between tasks."""
@@ -142,6 +197,7 @@ def worker_encoder(path: str) -> Encoder:
 def forget_encoders() -> None:
     """Frees a worker's encoders where nothing is left to encode."""
     sys.modules.pop("_lakeleaf_encoders", None)
+    pa.default_memory_pool().release_unused()
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -155,6 +211,16 @@ def pieces(batches, rows: int = 1000):
             yield b.slice(lo, rows)
 
 
+def text_runs(b: pa.RecordBatch, size: int = 1 << 22):
+    """Runs of a batch's rows whose texts (column 1) have about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+    lo = 0
+    while lo < len(b):
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")), lo + 1)
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 def bag_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct terms and their counts."""
     return np.unique(ids, return_counts=True)
@@ -165,19 +231,22 @@ def tokenised(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> Data
 
     def run(batches):
         encoder = worker_encoder(tokenizer)
-        for b in pieces(batches):
-            tokens, full, rest, terms, counts = [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                ids = np.frombuffer(encoder.encode(t or "") + np.uint16(end_id).tobytes(), np.uint16)
-                whole = len(ids) // window * window
-                tokens.append(len(ids))
-                full.append(np.array([crc_of(ids[k : k + window]) for k in range(0, whole, window)], np.uint32).tobytes())
-                rest.append(ids[whole:].tobytes())
-                term, count = bag_of(ids[:-1])
-                terms.append(term.astype(np.uint16).tobytes())
-                counts.append(count.astype(np.uint32).tobytes())
-            columns = [b.column(0), pa.array(tokens, pa.int64()), *(pa.array(c, pa.binary()) for c in (full, rest)), b.column(2), *(pa.array(c, pa.binary()) for c in (terms, counts))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "full", "rest", "mix", "terms", "counts"])
+        end = np.array([end_id], np.uint16)
+        for b, flat, at in ((some, *encoder.encode_all(some.column(1))) for batch in batches for some in text_runs(batch)):
+            for lo in range(0, len(b), 1000):
+                own = b.slice(lo, 1000)
+                tokens, full, rest, terms, counts = [], [], [], [], []
+                for a, z in zip(at[lo : lo + 1000].tolist(), at[lo + 1 : lo + 1001].tolist()):
+                    ids = np.concatenate((flat[a:z], end))
+                    whole = len(ids) // window * window
+                    tokens.append(len(ids))
+                    full.append(np.array([crc_of(ids[k : k + window]) for k in range(0, whole, window)], np.uint32).tobytes())
+                    rest.append(ids[whole:].tobytes())
+                    term, count = bag_of(ids[:-1])
+                    terms.append(term.astype(np.uint16).tobytes())
+                    counts.append(count.astype(np.uint32).tobytes())
+                columns = [own.column(0), pa.array(tokens, pa.int64()), *(pa.array(c, pa.binary()) for c in (full, rest)), own.column(2), *(pa.array(c, pa.binary()) for c in (terms, counts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "full", "rest", "mix", "terms", "counts"])
 
     out = "doc_id long, tokens long, full binary, rest binary, mix long, terms binary, counts binary"
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("mix")).mapInArrow(run, out)

@@ -331,6 +331,35 @@ def test_ids_are_those_of_a_plain_call():
             encoder.ids(f"never seen {k}")
 
 
+def test_texts_are_encoded_many_at_a_time():
+    """Ids of runs of texts against the tokenizer's own calls; words that occur in several texts are merged once, many in one call."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    plain, encoder = tokenizers.Tokenizer.from_file(path), packing.Encoder(path)
+    rng = np.random.default_rng(13)
+    marks = [*"abcdefgh019", "éß", "字", "🙂", ",", ".\n", "'s", "\r", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "<|endoftext|>"]
+    words = ["".join(rng.choice(marks, int(rng.integers(1, 6)))) for _ in range(400)] + ["", "x" * 500]
+    clean = [w for w in words if w and w == w.strip() and "<" not in w]
+    texts = [" ".join(rng.choice(clean if k % 3 else words, int(rng.integers(0, 30)))) for k in range(2000)] + [None, "", " ", "one", "<|endoftext|>"]
+    for lo in [*range(0, len(texts), 300), 0]:
+        some = texts[lo : lo + 300]
+        flat, at = encoder.encode_all(pa.array(some))
+        assert at[0] == 0 and at[-1] == len(flat) and len(at) == len(some) + 1
+        for x, a, z in zip(some, at, at[1:]):
+            assert flat[a:z].tolist() == plain.encode(x or "", add_special_tokens=False).ids, x
+    assert encoder.words[0].as_py() == "" and max(map(len, encoder.words.to_pylist())) <= packing.LONGEST
+    calls, ids = [], encoder.ids
+    encoder.ids = lambda text: calls.append(text) or ids(text)
+    encoder.encode_all(pa.array([f"one word{k} more of {k % 7}" for k in range(1000)]))
+    assert len(calls) <= 5 and sum(text.count(" word") for text in calls) == 1000 and sum(text.count(" more") for text in calls) <= 1
+    encoder.encode_all(pa.array(["one word5 more of 3"]))
+    assert len(calls) <= 5
+    assert [len(x) for x in packing.text_runs(pa.RecordBatch.from_arrays([pa.nulls(4), pa.array(["aa", None, "bbbb", "c" * 9])], names=["doc_id", "text"]), 6)] == [3, 1]
+    encoder.sizes = encoder.sizes * 0
+    with pytest.raises(RuntimeError):
+        encoder.encode_all(pa.array(["a b qx"]))
+
+
 def test_repeated_null_rows_are_dealt_over_fill_tasks(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     rows = [(None, "the same text again and again")] * 900 + [(k, f"word{k} other{k * 7} text") for k in range(300)]
