@@ -27,6 +27,8 @@ like any other, told apart by a number of the written row, so that they too are
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import zlib
@@ -194,10 +196,13 @@ def worker_encoder(path: str) -> Encoder:
     return kept.__dict__[path]
 
 
-def forget_encoders() -> None:
-    """Frees a worker's encoders where nothing is left to encode."""
-    sys.modules.pop("_lakeleaf_encoders", None)
+def forget(*kept: str) -> None:
+    """Frees what a worker keeps between tasks for steps that are over, and gives the memory back."""
+    if any([sys.modules.pop(f"_lakeleaf_{name}", None) for name in kept]):
+        gc.collect()
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc's
+        trim(0)
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -221,6 +226,17 @@ def text_runs(b: pa.RecordBatch, size: int = 1 << 22):
         lo = hi
 
 
+def count_bytes(counts: np.ndarray) -> bytes:
+    """A document's counts, of one byte each if all fit, else of four."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def bag_from(terms, counts) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and counts as ``tokenised`` wrote them."""
+    term, count = np.frombuffer(terms, np.uint16), np.frombuffer(counts, np.uint8)
+    return term, count.astype(np.uint32) if len(count) == len(term) else count.view(np.uint32)
+
+
 def bag_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct terms and their counts."""
     return np.unique(ids, return_counts=True)
@@ -244,7 +260,7 @@ def tokenised(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> Data
                     rest.append(ids[whole:].tobytes())
                     term, count = bag_of(ids[:-1])
                     terms.append(term.astype(np.uint16).tobytes())
-                    counts.append(count.astype(np.uint32).tobytes())
+                    counts.append(count_bytes(count))
                 columns = [own.column(0), pa.array(tokens, pa.int64()), *(pa.array(c, pa.binary()) for c in (full, rest)), own.column(2), *(pa.array(c, pa.binary()) for c in (terms, counts))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "full", "rest", "mix", "terms", "counts"])
 
@@ -267,6 +283,7 @@ def stats_of(rows: DataFrame) -> Stats:
     """At most one row for each token id and two more reach the driver."""
 
     def count(batches):
+        forget("encoders")
         df, docs, length = np.zeros(65536, np.int64), 0, 0
         for b in batches:
             df += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint16), minlength=65536)
@@ -365,10 +382,10 @@ def sharded(rows: DataFrame, stats: Stats, per_shard: int, sample: int = 20_000)
     """``rows`` with the fill task of each, by likeness; ``sample``: documents that the tree is fitted on, about."""
     if stats.n <= per_shard:
         return rows.withColumn("shard", F.lit(0).cast("long"))
-    terms_of = lambda b: [[np.frombuffer(x.as_buffer(), kind) for x in b.column(name)] for name, kind in (("terms", np.uint16), ("counts", np.uint32))]
+    terms_of = lambda b: zip(*(bag_from(t.as_buffer(), c.as_buffer()) for t, c in zip(b.column("terms"), b.column("counts"))))
 
     def vectors(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = likeness(*terms_of(b), stats)
             yield pa.RecordBatch.from_arrays([b.column("mix"), pa.array([v.tobytes() for v in out], pa.binary())], names=["mix", "v"])
 
@@ -378,7 +395,7 @@ def sharded(rows: DataFrame, stats: Stats, per_shard: int, sample: int = 20_000)
     tree = Tree(x, stats.n / max(1, len(x)), per_shard)
 
     def place(batches):
-        forget_encoders()
+        forget("encoders")
         for b in pieces(batches):
             where = tree.shard(likeness(*terms_of(b), stats), b.column("mix").to_numpy())
             yield b.append_column("shard", pa.array(where, pa.int64()))
@@ -394,22 +411,29 @@ class Index:
         n = max(1, len(bags))
         lengths = np.array([c.sum() for _, c in bags], np.int64)
         held = np.array([len(t) for t, _ in bags], np.int64)
-        term = np.concatenate([*(t for t, _ in bags), np.zeros(0, np.uint16)]).astype(np.int64)
-        tf = np.concatenate([*(c for _, c in bags), np.zeros(0, np.int64)]).astype(np.int64)
-        doc = np.repeat(np.arange(len(bags)), held)
+        term = np.concatenate([*(t for t, _ in bags), np.zeros(0, np.uint16)]).astype(np.uint16, copy=False)
+        tf = np.concatenate([*(c for _, c in bags), np.zeros(0, np.uint32)]).astype(np.uint32, copy=False)
+        doc = np.repeat(np.arange(len(bags), dtype=np.int32), held)
         if stats is None:
             stats = Stats(n, lengths.mean() if len(lengths) else 1.0, np.bincount(term, minlength=65536))
         order = np.argsort(term, kind="stable")
-        term, self.doc = term[order], doc[order]
+        term, self.doc, tf = term[order], doc[order].astype(np.int64), tf[order]
+        del doc, order
         new = np.concatenate(([True], term[1:] != term[:-1])) if len(term) else np.zeros(0, bool)
         self.first = np.flatnonzero(new)
         self.last = np.append(self.first[1:], len(term)).astype(np.int64)[: len(self.first)]
-        slot = np.cumsum(new) - 1
-        self.weight = stats.weight(term, tf[order], lengths[self.doc])
+        slot = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.weight = np.empty(len(term))
+        for lo in range(0, len(term), 1 << 16):
+            own = slice(lo, lo + (1 << 16))
+            self.weight[own] = stats.weight(term[own], tf[own], lengths[self.doc[own]])
+        del term, tf, new
         # each document's query: all its terms that some other document here has too
         shared = (self.last - self.first)[slot] > 1
-        by_doc = np.argsort(self.doc[shared], kind="stable")
-        at, terms = np.searchsorted(self.doc[shared][by_doc], np.arange(len(bags) + 1)), slot[shared][by_doc]
+        own = self.doc[shared].astype(np.int32)
+        terms = slot[shared][np.argsort(own, kind="stable")]
+        at = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(bags)))))
+        del own, shared
         self.query = [terms[a:z] for a, z in zip(at, at[1:])]
         self.n = len(bags)
         # weights of terms that an eighth of the documents have lie in full rows; no more than eight rows for each term of a mean document
@@ -512,7 +536,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, p
                     out.append((doc, k * window, window, crc, tokens, number, 0))
                     number += 1
             ids = [np.frombuffer(r[3], np.uint16) for r in docs]
-            bags = [(np.frombuffer(r[5], np.uint16), np.frombuffer(r[6], np.uint32)) for r in docs]
+            bags = [bag_from(r[5], r[6]) for r in docs]
             for sequence in fill(ids, window, bags, stats):
                 offset = 0
                 for d, a, z in sequence:
@@ -523,7 +547,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, p
             for lo in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[lo : lo + 20_000])], names=[x.split()[0] for x in PIECES.split(", ")])
 
-        forget_encoders()
+        forget("encoders", "projection")
         now, gathered = None, []
         for b in pieces(batches):
             for shard, *row in zip(*(c.to_pylist() for c in b.columns)):

@@ -2,6 +2,8 @@ import hashlib
 import math
 import os
 import re
+import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -376,6 +378,32 @@ def test_retrieval_prefers_related_neighbours():
     assert 2 not in index.neighbours(0, np.array([False, False, True, False]))
 
 
+def test_packing_holds_little_beside_its_rows(spark):
+    """Counts travel in one byte where they fit, an index takes few bytes a posting while it is made, and workers drop what a later step doesn't need."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = [(0, "one two two"), (1, "a " * 300 + "b"), (2, None), (3, " ".join(["x"] * 255)), (4, " ".join(["y"] * 257))]
+    got = {r.doc_id: r for r in packing.tokenised(spark.createDataFrame(texts, "doc_id long, text string"), path, 1024, 0).collect()}
+    plain = packing.Encoder(path)
+    for i, x in texts:
+        want, found = packing.bag_of(np.frombuffer(plain.encode(x or ""), np.uint16)), packing.bag_from(got[i].terms, got[i].counts)
+        assert all(np.array_equal(a, b) for a, b in zip(want, found, strict=True))
+    assert [len(got[i].counts) // max(1, len(got[i].terms) // 2) for i in range(5)] == [1, 4, 0, 1, 4]
+
+    rng = np.random.default_rng(14)
+    bags = [packing.bag_of((rng.zipf(1.3, 500) % 50_000).astype(np.uint16)) for _ in range(1000)]
+    tracemalloc.start()
+    packing.Index(bags, packing.Stats(1000, 500.0, np.ones(65536)))
+    most = tracemalloc.get_traced_memory()[1] / sum(len(t) for t, _ in bags)
+    tracemalloc.stop()
+    assert most < 70
+
+    packing.worker_encoder(path)
+    packing.likeness([bags[0][0]], [bags[0][1]], packing.Stats(1, 1.0, np.ones(65536)))
+    assert {"_lakeleaf_encoders", "_lakeleaf_projection"} <= set(sys.modules)
+    packing.forget("encoders", "projection")
+    assert not {"_lakeleaf_encoders", "_lakeleaf_projection"} & set(sys.modules)
+
+
 def test_retrieval_uses_all_terms_of_whole_documents():
     # 30 rarer terms shared with nobody but a decoy each; the true neighbour shares 200 commoner ones
     rare, common = np.arange(100, 130), np.arange(1000, 1200)
