@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakeleaf.llm import decontaminate, langid, packing, quality, secrets, sharding, warc
+from lakeleaf.llm import decontaminate, langid, packing, quality, queries, secrets, sharding, warc
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 RANDOM = "q7Zx9Lk2Vb8Rt4Wm1Pc6"
@@ -46,6 +46,15 @@ def test_secret_patterns(spark):
     assert secrets.scan(df.limit(0)).collect() == []
 
 
+def test_secret_query_counts_spans_by_kind(spark, tmp_path):
+    texts = [*TEXTS, "x AKIA" + "B2" * 9, "token=abcdefgh " + "0f" * 12 + " AKIA" + "A1" * 8 + " secret:qrstuvwx"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op2_secret_scan(spark, str(tmp_path)).collect():
+        base = plain_secrets(texts[r.doc_id] or "")
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for _, k, _ in base) for kind in range(3)], texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in base).encode()).hexdigest()
+
+
 def test_secret_tokens_inside_assignments_and_mixed_runs(spark):
     texts = [f"client_key={RANDOM}", f"?sig={RANDOM}&x", f"AUTH={RANDOM}==", f"v1/ab-{RANDOM}", f"{RANDOM}", f"a={RANDOM}=b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
