@@ -295,10 +295,8 @@ def _resources(t):
 
 
 def _containers(t):
-    """(path, content): whole containers put together from record rows, as files would hold them (for round trips on small tables)."""
-    rows = sinks.container_rows(_resources(t))
-    joined = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", F.hex("data").alias("d")))).alias("a"))
-    return joined.select(F.col("file").alias("path"), F.unhex(F.array_join(F.transform("a", lambda x: x["d"]), "")).alias("content"))
+    """(path, part, content): containers by the records that a writer appends to them, in the order of ``part``."""
+    return sinks.container_rows(_resources(t)).select(F.col("file").alias("path"), F.col("seq").alias("part"), F.col("data").alias("content"))
 
 
 _WARC = "WITH r AS (SELECT doc_id, source, octet_length(encode(text)) AS size, min(doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE text IS NOT NULL)"
@@ -321,13 +319,7 @@ def _(t):
 
 @P.add("scan_container", "SELECT count(*) AS bad FROM documents WHERE false")
 def _(t):
-    @F.udf("binary", useArrow=True)
-    def gz(data):
-        import gzip
-
-        return gzip.compress(bytes(data), mtime=0)
-
-    packed = _containers(t).select(F.concat("path", F.lit(".gz")).alias("path"), gz("content").alias("content"))
+    packed = warc_files.zipped(_containers(t))
     return warc_files.parsed(packed).where("error is not null").agg(F.count("*").alias("bad"))
 
 

@@ -48,7 +48,7 @@ def container_rows(resources: DataFrame, dedup: bool = True) -> DataFrame:
     arrow = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             out = []
             for row in b.to_pylist():
                 row["headers"] = dict(row["headers"] or [])

@@ -326,6 +326,40 @@ def test_containers(spark, tmp_path):
     assert json.loads(answer["result"]["content"][0]["text"])["total"] == 1
 
 
+def test_containers_in_parts(spark, tmp_path):
+    """Containers cut anywhere are scanned as whole ones are, damaged and compressed ones too."""
+    record = lambda i, body: b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: %d\r\nContent-Length: %d\r\n\r\n" % (i, len(body)) + body + b"\r\n\r\n"
+    data = b"".join(record(i, b"\r\n\r\nx" * (i % 7)) for i in range(40))
+    whole = {"a.warc": data, "b.warc": data[:-3], "c.warc": data + b"WARC/1.1\r\nContent-Length: 9", "d.warc": data + b"WARC/2\r\n\r\n" + data, "e.warc": b""}
+    packed = gzip.compress(data[:900]) + gzip.compress(data[900:])
+    whole |= {"f.warc.gz": packed, "g.warc.gz": packed[:-5], "h.warc.gz": b"no", "i.warc.gz": gzip.compress(b""), "j.warc.gz": packed + b"\0" * 9, "k.warc.gz": packed + b"junk"}
+    parts = [(n, k, d[at : at + 13]) for n, d in whole.items() for k, at in enumerate(range(0, max(1, len(d)), 13))]
+    random.Random(3).shuffle(parts)
+    one = warc_files.parsed(spark.createDataFrame(list(whole.items()), "path string, content binary"))
+    cut = warc_files.parsed(spark.createDataFrame(parts, "path string, part long, content binary"))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert rows(one) == rows(cut)
+    errors = {r.file: (r.offset, r.length, r.error) for r in cut.where("error is not null").collect()}
+    last = len(data) - len(record(39, b"\r\n\r\nx" * 4))
+    assert errors == {
+        "b.warc": (last, len(data) - 3 - last, "truncated or unterminated"), "c.warc": (len(data), 27, "incomplete header"), "d.warc": (len(data), 10 + len(data), "bad version or length"), "e.warc": (0, 0, "empty container"),
+        "g.warc.gz": (0, len(packed) - 5, "unreadable container"), "h.warc.gz": (0, 2, "unreadable container"), "i.warc.gz": (0, 0, "empty container"), "k.warc.gz": (0, len(packed) + 4, "unreadable container"),
+    }
+    members = warc_files.zipped(spark.createDataFrame([("a.warc", k, data[at : at + 50]) for k, at in enumerate(range(0, len(data), 50))], "path string, part long, content binary"))
+    assert warc_files.parsed(members).where("error is null and file = 'a.warc.gz'").count() == 40
+
+
+def test_a_scan_holds_one_record():
+    import tracemalloc
+
+    body = b"y" * 100_000
+    record = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    tracemalloc.start()
+    assert sum(1 for _ in warc_files.rows_of("a.warc", (record for _ in range(300)))) == 300
+    assert tracemalloc.get_traced_memory()[1] < 2 << 20
+    tracemalloc.stop()
+
+
 def test_checks(spark):
     assert V.state_problem({"a": [{"tokens": 1}]}) is None and V.state_problem({"x_auth": 1}) == "credential name"
     lease = spark.createDataFrame([("j", 1, 0.0), ("j", 2, 100.0), ("j", 3, 301.0), ("j", 4, 400.0)], "job string, seq long, at double")
