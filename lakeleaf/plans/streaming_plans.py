@@ -24,13 +24,14 @@ def _stream(t) -> DataFrame:
 
 
 def _drained(t, df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream to its end in the shared folder's checkpoint and return what it holds."""
-    import uuid
-
-    name = "s" + uuid.uuid4().hex
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream to its end and return what it holds, as written by tasks in the shared folder: every batch, or the last one of mode ``complete``."""
+    path = _folder(t, "drained")
+    t.spark.createDataFrame([], df.schema).write.parquet(f"{path}/batch=none")
+    write = sinks.idempotent_batches(path)
+    each = (lambda batch, number: write(batch, 0)) if mode == "complete" else write
+    q = df.writeStream.option("checkpointLocation", _folder(t, "drained-state")).foreachBatch(each).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.table(name)
+    return t.spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 # --- folds over ordered samples ---------------------------------------------------

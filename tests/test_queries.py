@@ -72,3 +72,11 @@ def test_short_copies_are_not_verified(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = {r[0] for r in con.execute(registry.oracle_sql()["agg_payload_verify"]).fetchall()}
     assert got == want == {f"https://example.com/{i}" for i in (3, 24, 38, 59)}
+
+
+@pytest.mark.parametrize("name", ["stream_journal_dedupe", "ext_window_counts", "stream_pacing"])
+def test_streams_leave_no_rows_with_the_driver(spark, name):
+    """What a stream gives is in files; a table in memory would be a temporary view."""
+    before = {x.name for x in spark.catalog.listTables()}
+    df = registry.queries()[name](spark, DATA)
+    assert {x.name for x in spark.catalog.listTables()} == before and df.inputFiles()
