@@ -72,20 +72,9 @@ def _(t):
 
 @P.add("state_token_bucket")
 def _(t):
-    """Tokens left after each request of a fixed pace, by the permission step."""
-
-    @F.udf("array<struct<seq:bigint,wait:double>>", useArrow=True)
-    def waits(rows):
-        p, c, out, late = S.Pace(), S.Config(), [], 0.0
-        for r in rows:
-            now = max(r["at"], late)
-            p, wait = S.permission(p, r["host"], now, 0.0, c)
-            late = now + wait
-            out.append({"seq": r["seq"], "wait": late - r["at"]})
-        return out
-
-    rows = _samples(t).groupBy("engine").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("ts_ms").alias("at"), "host"))).alias("r"))
-    return rows.select("engine", F.explode(waits("r")).alias("w")).select("engine", "w.seq", "w.wait")
+    """Tokens left after each request of a fixed pace, by the permission step: a fold over each engine's rows in order, which holds one batch and one state."""
+    rows = _samples(t).select("engine", "seq", F.col("ts_ms").alias("at"), "host")
+    return rows.repartition("engine").sortWithinPartitions("engine", "seq", "at", "host").mapInArrow(S.waits, "engine string, seq long, wait double")
 
 
 @P.add("state_acquire")

@@ -253,6 +253,30 @@ def test_permission():
     assert (p.circuit, wait) == ("THROTTLED", 200.0)
 
 
+def test_waits_hold_one_batch():
+    import pyarrow as pa
+
+    asks = [("a", 1, 0.0, "h"), ("a", 2, 5.0, "h"), ("a", 3, 6.0, None), ("a", 4, 7.0, "g"), ("a", 5, 8.0, "h"), ("a", 6, 9.0, "h"), ("a", 7, 90_000.0, "h"), ("b", 1, 3.0, "h"), (None, 1, 4.0, None)]
+    want, last = [], {}
+    for engine, seq, at, host in asks:
+        p, late = last.get(engine, (pacing.Pace(), 0.0))
+        p, wait = pacing.permission(p, host, max(at, late), 0.0, pacing.Config())
+        last[engine] = p, max(at, late) + wait
+        want.append((engine, seq, max(at, late) + wait - at))
+    read = []
+
+    def batches():
+        for lo in range(0, len(asks), 2):
+            read.append(lo)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*asks[lo : lo + 2])], names=["engine", "seq", "at", "host"])
+
+    got = []
+    for k, b in enumerate(pacing.waits(batches())):
+        assert len(read) == k + 1
+        got += zip(*(c.to_pylist() for c in b.columns))
+    assert got == want and want[5][2] > 0
+
+
 def test_markup_events():
     from lakeleaf.functions import markup
 
