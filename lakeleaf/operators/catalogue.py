@@ -10,12 +10,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeleaf.functions import http
-from lakeleaf.operators.extract import sorted_json
+from lakeleaf.operators.extract import by_slices, sorted_json
 from lakeleaf.operators.tables import kept
 
 # Labels and states.
@@ -319,10 +319,11 @@ def derivative_problem() -> Column:
 
 def derivative_identity(revision: str, metadata: str, places: str) -> Column:
     """``search:`` and the digest of the compact JSON list of revision, metadata text and locator text."""
-    @F.pandas_udf("string")
-    def run(r: pd.Series, m: pd.Series, p: pd.Series) -> pd.Series:
-        compact = json.JSONEncoder(separators=(",", ":")).encode
-        return pd.Series(["search:" + hashlib.sha256(compact(list(x)).encode()).hexdigest() for x in zip(r, m, p)])
+    compact = json.JSONEncoder(separators=(",", ":")).encode
+
+    @F.arrow_udf("string")
+    def run(r: pa.Array, m: pa.Array, p: pa.Array) -> pa.Array:
+        return by_slices(lambda *x: "search:" + hashlib.sha256(compact(list(x)).encode()).hexdigest(), pa.string(), r, m, p)
 
     return run(revision, metadata, places)
 

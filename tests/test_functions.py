@@ -277,6 +277,22 @@ def test_waits_hold_one_batch():
     assert got == want and want[5][2] > 0
 
 
+def test_arrow_columns_become_objects_by_slices(monkeypatch):
+    import pyarrow as pa
+
+    most = []
+
+    class Column(list):
+        def slice(self, lo, n):
+            most.append(n)
+            return pa.array(self[lo : lo + n], pa.string())
+
+    monkeypatch.setattr(X, "SLICE", 3)
+    texts = ["a", None, "é", "", "b", "c", "d"]
+    assert X.by_slices(lambda a, b: (a or "-") + (b or "-"), pa.string(), Column(texts), Column(texts[::-1])).to_pylist() == [(a or "-") + (b or "-") for a, b in zip(texts, texts[::-1])]
+    assert set(most) == {3} and X.by_slices(len, pa.int64(), Column()).to_pylist() == []
+
+
 def test_markup_events():
     from lakeleaf.functions import markup
 
